@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import encoding
+from lexiloom.llm import encoding, leaks, lookalikes
 from lexiloom.sources.tables import table
 
 
@@ -22,4 +22,23 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "text").join(back, "doc_id", "left").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p8_roundtrip)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.found(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
+
+
+def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without its leaked spans."""
+    docs = table(spark, sf, "documents")
+    return leaks.cleaned(docs, leaks.spans(docs, table(spark, sf, "eval_item")))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalikes.pairs(table(spark, sf, "documents"))
+
+
+def p10_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in its one form."""
+    return lookalikes.normalised(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}
