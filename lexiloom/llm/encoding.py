@@ -4,7 +4,8 @@
    equal words meet in partial aggregates, so what is shuffled is the vocabulary, not the corpus.
 2. Each distinct word is encoded once. The table word -> ids is kept in the shared folder.
 3. Words that hold at least ``1 / hot_words`` of all occurrences are broadcast. There are at most ``hot_words`` of them,
-   whatever the size of the corpus, since their shares add up to one at most.
+   whatever the size of the corpus, since their shares add up to one at most. So are short numbers, of which there are
+   few by their length.
 4. Each text is cut again and the ids of its hot words are put in place. What remains, its rare words, goes through a
    shuffle join with the table, by word, and comes back to its gap by position. A rare word has less than ``1 / hot_words``
    of the occurrences, so no key of that join is hot.
@@ -22,7 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,12 @@ from lexiloom.sources.tables import kept
 
 #: Folder of the tokenizer files, a parameter of every function here.
 TOKENIZERS = os.environ.get("LEXILOOM_TOKENIZERS", "/opt/tokenizers")
-#: The largest number of words to broadcast (about 100 bytes each).
+#: The largest number of words to broadcast for being frequent (about 100 bytes each).
 HOT_WORDS = 1_000_000
+#: Numbers of up to five digits are broadcast too, with or without a space before them: 222,220 words at most.
+SHORT_NUMBER = "^ ?[0-9]{1,5}$"
+#: Texts that a worker cuts before it hands on their ids.
+TEXTS_AT_ONCE = 256
 
 # The published splitting rule of this tokenizer family, with white space as in Unicode's White_Space.
 SPLIT_JVM = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,32 +116,43 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
     key_type = docs.schema["key"].dataType.simpleString()
     words = word_table(docs, "text", f"{tokenizers}/{name}.tiktoken")
     total = words.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * F.lit(hot_words) >= F.lit(total)
-    table = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in words.where(hot).select("word", "ids").toLocalIterator()})
+    hot = (F.col("n") * F.lit(hot_words) >= F.lit(total)) | F.col("word").rlike(SHORT_NUMBER)
+    known, lists = [], []
+    for r in words.where(hot).select("word", "ids").toLocalIterator():
+        known.append(r.word)
+        lists.append(r.ids)
+    number = spark.sparkContext.broadcast({w: i for i, w in enumerate(known)})
+    held = spark.sparkContext.broadcast((np.fromiter(chain.from_iterable(lists), np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, of = TaskContext.get().partitionId(), 0, table.value.get
-        for batch in batches:
-            runs, run_ends, gaps, keys, rows = [], [0], [], [], []
-            for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
-                cut = split_words(t) if t else []
-                ids = list(map(of, cut))
-                missing, at = [], 0
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            missing.append(cut[i])
-                            runs.append(list(chain.from_iterable(ids[at:i])))
-                            at = i + 1
-                runs.append(list(chain.from_iterable(ids[at:] if at else ids)))
-                run_ends.append(len(runs))
-                gaps.append(missing)
-                rows.append((part << 40) + row)
-                row += 1
-            nested = pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), _lists(runs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), nested, pa.array(gaps, pa.list_(pa.string()))], ["key", "row", "runs", "gaps"])
+        part, row, of = TaskContext.get().partitionId(), 0, number.value.get
+        flat_ids, ends = held.value
+        size = np.append(np.diff(ends), 0)  # the last is for words without a number, -1
+        for whole_batch in batches:
+            for batch in (whole_batch.slice(k, TEXTS_AT_ONCE) for k in range(0, len(whole_batch), TEXTS_AT_ONCE)):
+                words: list[str] = []
+                starts = []
+                for t in batch.column(1).to_pylist():
+                    starts.append(len(words))
+                    if t:
+                        words += split_words(t)
+                numbers = np.fromiter(map(of, words, repeat(-1)), np.int64, len(words))
+                gap = np.flatnonzero(numbers < 0)
+                sizes = size[numbers]
+                before = np.concatenate([[0], np.cumsum(sizes)])
+                # the ids of all words in a row: from each word's first id on, as many as it has
+                ids = flat_ids[np.repeat(ends[numbers] - before[:-1], sizes) + np.arange(before[-1])]
+                first = np.array(starts)
+                edges = np.sort(np.concatenate([first, gap]), kind="stable")
+                gap_ends = np.append(np.searchsorted(gap, first), len(gap)).astype(np.int32)
+                runs = pa.ListArray.from_arrays(pa.array(np.append(before[edges], before[-1]).astype(np.int32)), pa.array(ids))
+                nested = pa.ListArray.from_arrays(pa.array(gap_ends + np.arange(len(first) + 1, dtype=np.int32)), runs)
+                gaps = pa.ListArray.from_arrays(pa.array(gap_ends), pa.array([words[i] for i in gap], pa.string()))
+                rows = pa.array(np.arange(row, row + len(batch)) + (part << 40))
+                row += len(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), rows, nested, gaps], ["key", "row", "runs", "gaps"])
 
     placed = kept(docs.mapInArrow(place, f"key {key_type}, row bigint, runs array<array<int>>, gaps array<string>"), "placed")
     whole = placed.where(F.size("gaps") == 0).select("key", F.col("runs")[0].alias("ids"))
