@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import encoding, leaks, lookalikes
+from lexiloom.llm import copies, encoding, leaks, lookalikes, nested, together
 from lexiloom.sources.tables import table
 
 
+def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A tenth of the targets."""
+    return nested.sample(table(spark, sf, "set_300"), "targetId", 0.1)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return copies.copies(table(spark, sf, "submission"))
+
+
+def p2_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each different record with the number of its copies."""
+    return copies.records(table(spark, sf, "submission"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return together.found(table(spark, sf, "set_300"))
+
+
+def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of glyphs with its counts, odds ratio and lift."""
+    p = together.pairs(table(spark, sf, "set_300"))
+    return p.select("glyph_a", "glyph_b", "c", "a", "b", "n", F.round("odds_ratio", 3).alias("odds_ratio"), F.round("lift", 3).alias("lift"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode(table(spark, sf, "documents"))
 
@@ -41,4 +65,4 @@ def p10_text(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalised(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p2_found, p2_records, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}

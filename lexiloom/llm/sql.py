@@ -1,6 +1,30 @@
 """DuckDB SQL of the queries of this subpackage that SQL can express on whole tables."""
 
+_BUCKET = "cast(('0x' || substr(md5('20240|' || k), 1, 4)) as integer)"
+_BASKETS = """
+records as (select distinct targetId, spelling from set_300 where targetId is not null and spelling is not null),
+baskets as (select row_number() over () as r, list_sort(list_distinct(list_filter(list_transform(string_split(spelling, '/'),
+    g -> try_cast(nullif(regexp_extract(g, '^B([0-9]+)(;|$)', 1), '') as integer)), x -> x is not null))) as items from records),
+item as (select r, unnest(items) as i from baskets where len(items) > 0),
+total as (select count(distinct r) as n from item),
+each as (select i, count(*) as k from item group by i),
+met as (select x.i as glyph_a, y.i as glyph_b, count(*) as c from item x join item y on x.r = y.r and x.i < y.i group by 1, 2),
+pairs as (select glyph_a, glyph_b, c, ea.k as a, eb.k as b, n from met join each ea on ea.i = glyph_a join each eb on eb.i = glyph_b cross join total)
+"""
+
 SQL: dict[str, str] = {
+    "p1_sample": f"""
+with keys as (select distinct targetId as k from set_300 where targetId is not null),
+b as (select k, {_BUCKET} as bucket from keys),
+r1 as (select k, bucket, (bucket::bigint * 40503 + 20240) % 65536 as r from b),
+r2 as (select k, bucket, xor(r, r >> 7) as r from r1),
+r3 as (select k, bucket, (cast(r as bigint) * 30011 + 977) % 65536 as r from r2),
+r4 as (select k, bucket, cast(xor(r, r >> 9) as integer) as bucket_rank from r3)
+select k as targetId, bucket, bucket_rank from r4 where bucket_rank < 6554""",
+    "p7_found": f"with {_BASKETS} select glyph_a, glyph_b from pairs where c >= 3 and 1000 * c >= n and c * n >= 3 * a * b",
+    "p7_pairs": f"""with {_BASKETS} select glyph_a, glyph_b, c, a, b, n,
+    round((c + 0.5::double) * (n - a - b + c + 0.5::double) / ((a - c + 0.5::double) * (b - c + 0.5::double)), 3) as odds_ratio,
+    round(c::double * n::double / (a::double * b::double), 3) as lift from pairs""",
     # a text is the same after encoding and decoding, whatever it holds
     "p8_roundtrip": "select doc_id, true as same from documents",
 }
