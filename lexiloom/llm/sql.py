@@ -4,7 +4,7 @@ _BUCKET = "cast(('0x' || substr(md5('20240|' || k), 1, 4)) as integer)"
 _BASKETS = """
 records as (select distinct targetId, spelling from set_300 where targetId is not null and spelling is not null),
 baskets as (select row_number() over () as r, list_sort(list_distinct(list_filter(list_transform(string_split(spelling, '/'),
-    g -> try_cast(nullif(regexp_extract(g, '^B([0-9]+)(;|$)', 1), '') as integer)), x -> x is not null))) as items from records),
+    lambda g: try_cast(nullif(regexp_extract(g, '^B([0-9]+)(;|$)', 1), '') as integer)), lambda x: x is not null))) as items from records),
 item as (select r, unnest(items) as i from baskets where len(items) > 0),
 total as (select count(distinct r) as n from item),
 each as (select i, count(*) as k from item group by i),
