@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import copies, encoding, leaks, lookalikes, nested, together
+from lexiloom.llm import copies, encoding, leaks, lookalikes, nested, passages, quotas, together
 from lexiloom.sources.tables import table
 
 
@@ -25,6 +25,28 @@ def p2_records(spark: SparkSession, sf: str) -> DataFrame:
     return copies.records(table(spark, sf, "submission"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.runs(table(spark, sf, "set_300"))
+
+
+def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each row's spelling is shared with another target."""
+    return passages.shares(table(spark, sf, "set_300"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quotas.unmet(table(spark, sf, "set_300"), table(spark, sf, "sample_quota"))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Each quota line with its supply and what the sample holds."""
+    return quotas.report(table(spark, sf, "set_300"), table(spark, sf, "sample_quota"))
+
+
+def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return quotas.draw(table(spark, sf, "set_300"), table(spark, sf, "sample_quota"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return together.found(table(spark, sf, "set_300"))
 
@@ -65,4 +87,4 @@ def p10_text(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalised(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p2_found, p2_records, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p2_found, p2_records, p3_found, p3_shares, p6_found, p6_report, p6_sample, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}

@@ -12,6 +12,16 @@ met as (select x.i as glyph_a, y.i as glyph_b, count(*) as c from item x join it
 pairs as (select glyph_a, glyph_b, c, ea.k as a, eb.k as b, n from met join each ea on ea.i = glyph_a join each eb on eb.i = glyph_b cross join total)
 """
 
+_SHARED = """
+glyph as (select row_no, targetId, unnest(string_split(spelling, '/')) as g, generate_subscripts(string_split(spelling, '/'), 1) as p
+    from set_300 where targetId is not null and spelling is not null),
+span as (select row_no, targetId, p, array_to_string(list(g) over (partition by row_no order by p rows between current row and 4 following), '/') as s,
+    count(*) over (partition by row_no order by p rows between current row and 4 following) as k from glyph),
+several as (select s from span where k = 5 group by s having min(targetId) <> max(targetId)),
+shared_glyph as (select distinct row_no, p + d.d as p from span join several using (s), (select unnest([0, 1, 2, 3, 4]) as d) d where k = 5),
+numbered as (select row_no, p, row_number() over (partition by row_no order by p) as k from shared_glyph)
+"""
+
 SQL: dict[str, str] = {
     "p1_sample": f"""
 with keys as (select distinct targetId as k from set_300 where targetId is not null),
@@ -21,6 +31,14 @@ r2 as (select k, bucket, xor(r, r >> 7) as r from r1),
 r3 as (select k, bucket, (cast(r as bigint) * 30011 + 977) % 65536 as r from r2),
 r4 as (select k, bucket, cast(xor(r, r >> 9) as integer) as bucket_rank from r3)
 select k as targetId, bucket, bucket_rank from r4 where bucket_rank < 6554""",
+    "p3_found": f"with {_SHARED} select row_no, min(p)::integer as first_glyph, max(p)::integer as last_glyph from numbered group by row_no, p - k",
+    "p3_shares": f"""with {_SHARED}, held as (select row_no, count(*) as h from shared_glyph group by row_no)
+select row_no, len(string_split(spelling, '/'))::integer as glyphs, coalesce(h, 0) as shared_glyphs
+from set_300 left join held using (row_no) where targetId is not null and spelling is not null""",
+    "p6_found": """with t as (select distinct targetId, charCount from set_300 where targetId is not null and charCount is not null),
+n as (select count(distinct targetId) // 4 as n from t)
+select char_count from sample_quota cross join n left join (select charCount, count(*) as k from t group by 1) on charCount = char_count
+where coalesce(k, 0) < greatest(min_rows, (share_pm::bigint * n + 999) // 1000)""",
     "p7_found": f"with {_BASKETS} select glyph_a, glyph_b from pairs where c >= 3 and 1000 * c >= n and c * n >= 3 * a * b",
     "p7_pairs": f"""with {_BASKETS} select glyph_a, glyph_b, c, a, b, n,
     round((c + 0.5::double) * (n - a - b + c + 0.5::double) / ((a - c + 0.5::double) * (b - c + 0.5::double)), 3) as odds_ratio,
