@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import copies, encoding, leaks, lookalikes, nested, passages, quotas, replies, together
+from lexiloom.llm import canonical, copies, encoding, leaks, lookalikes, nested, passages, quotas, replies, together
 from lexiloom.sources.tables import table
 
 
@@ -47,6 +47,10 @@ def p4_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return replies.pairs(*_pairs(spark, sf))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.found(table(spark, sf, "submission"), table(spark, sf, "answer_alias_curation"), table(spark, sf, "canonical_gloss"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return quotas.unmet(table(spark, sf, "set_300"), table(spark, sf, "sample_quota"))
 
@@ -100,4 +104,4 @@ def p10_text(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalised(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p2_found, p2_records, p3_found, p3_shares, p4_found, p4_coverage, p6_found, p6_report, p6_sample, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p2_found, p2_records, p3_found, p3_shares, p4_found, p4_coverage, p5_found, p6_found, p6_report, p6_sample, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}
