@@ -15,7 +15,7 @@ _STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 _SPACE = r"[ \t\r\n]*+"
 #: A JSON list of nothing but strings, which is read in the JVM.
 PLAIN_LIST = rf"^{_SPACE}\[{_SPACE}(?:{_STRING}{_SPACE}(?:,{_SPACE}{_STRING}{_SPACE})*+)?\]{_SPACE}$"
-_WHITE_CHARS = "\t\n\v\f\r   　﻿  " + "".join(map(chr, range(0x2000, 0x200B))) + "  "
+_WHITE_CHARS = "\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _refuse(word: str):

@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as scripts of the web count it, which is wider than Java's \s.
-WHITE = r"[\t-\r   -     　﻿]"
-NOT_WHITE = WHITE.replace("[", "[^", 1)
+WHITE = "[\\t-\\r    -     　﻿]"
 # Parts of speech whose answers are infinitives.
 VERBS = ["action", "verb"]
 # Words that are spelled in two ways.
@@ -100,7 +99,7 @@ def dialect_variant(c: Column, pairs: list[tuple[str, str]] = DIALECT_PAIRS) ->
 def normalize_answer(c: Column, pos: Column | None = None) -> Column:
     """The form in which answers and guesses are compared; with a verb's part of speech as an infinitive."""
     s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "['’]", "")
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, rf"[^a-z0-9\t-\r   -     　﻿-]", " "), f"{WHITE}+", " "))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, f"[^a-z0-9{WHITE[1:-1]}-]", " "), f"{WHITE}+", " "))
     if pos is None:
         return s
     verb = F.lower(F.trim(F.coalesce(pos, F.lit("")))).isin(*VERBS)

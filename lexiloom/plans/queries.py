@@ -94,8 +94,10 @@ def display_spelling(spark, sf):
 
 @query
 def get_entry(spark, sf):
-    asked = table(spark, sf, "submission").select("targetId").where("targetId is not null").distinct()
-    return lexicon(spark, sf).get(asked, "targetId").select("asked", "id", F.col("shown").alias("spelling"), "gloss", "pos")
+    """Every entry but the marks, asked for by its id in another writing."""
+    lex = lexicon(spark, sf)
+    asked = lex.raw.where("not is_indicator").select(F.concat(F.lit("b"), F.lpad(F.col("numeric_id").cast("string"), 8, "0")).alias("asked"))
+    return lex.get(asked, "asked").select("asked", "id", F.col("shown").alias("spelling"), "gloss", "pos")
 
 
 @query
