@@ -79,7 +79,7 @@ scan(id, size, spot, stop, spelling, run) as (
   select hit.id, hit.size, hit.spot, hit.spot + hit.n, hit.spelling, scan.run and hit.spot = scan.stop from scan join hit on hit.id = scan.id where hit.spot = (select min(h.spot) from hit h where h.id = scan.id and h.spot >= scan.stop))
 """
 _GLOSS = f"""{_LEX},
-glosses as (select id, pos, gloss from lex union all select 'C' || cast(curation_id as varchar), 'noun', array_to_string(answers, '; ') from answer_alias_curation where answers is not null)
+glosses as (select id, pos, gloss from lex union all select 'C' || cast(curation_id as varchar), 'noun', coalesce(array_to_string(answers, '; '), '') from answer_alias_curation where answers is not null)
 """
 
 
