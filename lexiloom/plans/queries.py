@@ -172,18 +172,18 @@ def neighbours(spark, sf):
 
 @query
 def neighbours_capped(spark, sf):
-    return matching.capped(matching.neighbours(lexicon(spark, sf))).select("target_id", "side", "rank", "helper_id", "shared_len")
+    return matching.first_neighbours(lexicon(spark, sf)).select("target_id", "side", "rank", "helper_id", "shared_len")
 
 
 @query
 def neighbours_omitted(spark, sf):
-    return matching.omitted(matching.neighbours(lexicon(spark, sf)))
+    return matching.omitted(matching.counts(lexicon(spark, sf)))
 
 
 @query
 def legend(spark, sf):
     lex = lexicon(spark, sf)
-    return matching.legend(lex, matching.capped(matching.neighbours(lex))).select("target_id", "spelling", "base_spelling", "length", "helper_id")
+    return matching.legend(lex, matching.first_neighbours(lex)).select("target_id", "spelling", "base_spelling", "length", "helper_id")
 
 
 # modifiers

@@ -77,10 +77,23 @@ def test_caps(spark):
     every = matching.neighbours(lex)
     start = lambda limit: [r.helper_id for r in matching.capped(every, limit).where("target_id = 'B1' and side = 'start'").orderBy("rank").collect()]
     assert start(2) == ["B4", "B3"] and start(float("inf")) == start(8) == start(float("nan")) and start(0) == start(-3) == []
-    left = {(r.side): r.omitted for r in matching.omitted(every, 2).where("target_id = 'B1'").collect()}
+    left = {(r.side): r.omitted for r in matching.omitted(matching.counts(lex), 2).where("target_id = 'B1'").collect()}
     assert left == {"start": 2, "end": 0}
 
 
+def test_first_neighbours(spark):
+    """Frequent affixes, equal words and spans inside the target: the same rows as the first of all pairs, and the same counts."""
+    rnd = random.Random(11)
+    words = [(i, "/".join(f"B{rnd.choice([100, 100, 100, 101, 102])}" for _ in range(rnd.randrange(1, 8))), "") for i in range(1, 500)]
+    lex = lexicon(spark, words)
+    every = matching.neighbours(lex)
+    rows = lambda df: sorted(map(tuple, df.select("target_id", "side", "rank", "helper_id", "shared_len").collect()))
+    for limit in (1, 8, 30):
+        assert rows(matching.first_neighbours(lex, limit=limit)) == rows(matching.capped(every, limit))
+    want = sorted(map(tuple, every.groupBy("target_id", "side").count().collect()))
+    assert sorted(map(tuple, matching.counts(lex).select("target_id", "side", "n").collect())) == want
+
+
 def test_legend(spark):
     lex = lexicon(spark, [(1, "B100/B200/B300", "t"), (2, "B100/B401/B402", "n"), (3, "B777/B300", "e"), (4, "B401", "alpha"), (5, "B402", "beta"), (6, "B401/B402", "widget"), (7, "B777", "omega"), (8, "B100", "first")])
     shown = matching.capped(matching.neighbours(lex))
