@@ -156,8 +156,11 @@ def ambiguous_words(docs: DataFrame, text: str) -> DataFrame:
     gone = "".join(c for c, v in folds().items() if not v)
     clean = F.when(F.col(text).rlike(NOT_ASCII), F.translate(F.col(text), "".join(one) + gone, "".join(one.values()))).otherwise(F.col(text))
     letters = _patterns()[3]
-    rule = f"(?<![\\p{{IsLatin}}\\p{{IsCyrillic}}\\p{{IsGreek}}\\p{{M}}])[{letters}]++(?![\\p{{IsLatin}}\\p{{IsCyrillic}}\\p{{IsGreek}}\\p{{M}}])"
-    return docs.select(F.explode(F.regexp_extract_all(clean, F.lit(rule), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # The pattern takes a whole range for the letters beyond ASCII, as a class of many single letters is tried one by one; the tokens are sifted after it.
+    some = f"[{''.join(c for c in letters if c.isascii())}\u00c0-\u1fff]"
+    rule = f"(?={some})(?<![{TOKEN_LETTERS}]){some}++(?![{TOKEN_LETTERS}])"
+    tokens = docs.select(F.explode(F.regexp_extract_all(clean, F.lit(rule), F.lit(0))).alias("word"))
+    return tokens.where(F.translate("word", letters, "") == "").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def choices(docs: DataFrame, text: str = "text") -> DataFrame:
