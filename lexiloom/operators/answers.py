@@ -39,17 +39,18 @@ def with_answers(entries: DataFrame, gloss: str = "gloss", reviewed: str | None
     """
     out = entries.withColumn("base_forms", T.base_answers(F.col(gloss)))
     if reviewed is None:
-        out = out.withColumn("source", F.lit("rule")).withColumn("_first", _first(_by_rule(F.col("base_forms"))))
+        out = out.withColumn("source", F.lit("rule")).withColumn("_raw", _by_rule(F.col("base_forms")))
     else:
         has = F.col(reviewed).isNotNull()
         listed = F.filter(F.coalesce(F.col(reviewed), F.array().cast("array<string>")), lambda x: x.isNotNull())
-        out = out.withColumn("source", F.when(has, "curated").otherwise("rule")).withColumn("_first", _first(F.when(has, _by_review(F.col("base_forms"), listed)).otherwise(_by_rule(F.col("base_forms")))))
+        out = out.withColumn("source", F.when(has, "curated").otherwise("rule")).withColumn("_raw", F.when(has, _by_review(F.col("base_forms"), listed)).otherwise(_by_rule(F.col("base_forms"))))
+    out = out.withColumn("_first", _first(F.col("_raw")))  # a column of its own, as the lambdas would evaluate the expression for every element
     variants = F.filter(F.transform("_first", lambda x: F.struct(T.dialect_variant(x["form"]).alias("form"), F.lit("dialect").alias("reason"))), lambda x: x["form"].isNotNull())
     out = out.withColumn("_all", F.concat("_first", variants)).withColumn("_all", _first(F.col("_all")))
     return (
         out.withColumn("answers", F.transform("_all", lambda x: x["form"]))
         .withColumn("added", F.filter("_all", lambda x: ~F.array_contains(F.col("base_forms"), x["form"])))
-        .drop("_first", "_all")
+        .drop("_raw", "_first", "_all")
     )
 
 

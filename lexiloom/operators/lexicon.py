@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.spelling import code_token, with_parsed
+from lexiloom.functions.spelling import resolve_id, with_parsed
+from lexiloom.sources.tables import kept
 
 FLAGS = {"isChar": "is_char", "isWord": "is_word", "isIndicator": "is_indicator", "isNonPreferred": "is_non_preferred", "isDualForm": "is_dual_form", "isPrimitive": "is_primitive"}
 
@@ -55,12 +56,12 @@ class Lexicon:
 
     @cached_property
     def entries(self) -> DataFrame:
-        """The entries, parsed; with ``atomic``, ``shown`` (display spelling) and ``shown_base``."""
+        """The entries, parsed; with ``atomic``, ``shown`` (display spelling) and ``shown_base``. Parsed once and kept in the shared folder: every lookup reads its columns of it."""
         known = F.array(*map(F.lit, self.marks)).cast("array<string>")
         strange = F.exists("chars", lambda c: F.exists(c["indicators"], lambda m: ~F.array_contains(known, m)))
         parsed = with_parsed(self.raw, "code").withColumn("atomic", F.coalesce(strange, F.lit(False)))
         own = lambda c: F.when(F.col("atomic") | F.col("canonical").isNull(), F.col("id")).otherwise(F.col(c))
-        return parsed.withColumn("shown", own("canonical")).withColumn("shown_base", own("base_key"))
+        return kept(parsed.withColumn("shown", own("canonical")).withColumn("shown_base", own("base_key")), "lexicon")
 
     @cached_property
     def words(self) -> DataFrame:
@@ -86,8 +87,6 @@ class Lexicon:
     def get(self, ids: DataFrame, column: str = "id") -> DataFrame:
         """``asked`` and the entry of each asked id (``12``, ``B12``, ``b012``); of repeated ids the last entry."""
         last = self.entries.groupBy("id").agg(F.max_by(F.struct("shown", "gloss", "pos", "is_non_preferred"), F.struct("ordinal", "code")).alias("e"))
-        from lexiloom.functions.spelling import resolve_id
-
         return ids.select(F.col(column).cast("string").alias("asked")).withColumn("id", resolve_id(F.col("asked"))).join(last, "id").select("asked", "id", "e.shown", "e.gloss", "e.pos")
 
     def find_by_spelling(self, spellings: DataFrame, column: str = "spelling") -> DataFrame:
@@ -118,5 +117,3 @@ class Lexicon:
         ref = self.indicators.select(F.col("code").alias("spelling"), "name", "group", "purpose").dropDuplicates(["spelling"])
         return one.join(ref, "spelling", "left").select("id", "mark_no", "spelling", "scope", "char_index", *[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "group", "purpose")])
 
-
-__all__ = ["Lexicon", "normalized", "code_token"]

@@ -84,7 +84,7 @@ def resolve_id(spark, sf):
 
 @query
 def normalize_entries(spark, sf):
-    return lexicon(spark, sf).entries.select("id", "numeric_id", "code", "gloss", "pos", "is_char", "is_word", "is_indicator", "is_non_preferred")
+    return entries(spark, sf).select("id", "numeric_id", "code", "gloss", "pos", "is_char", "is_word", "is_indicator", "is_non_preferred")
 
 
 @query

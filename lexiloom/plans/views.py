@@ -10,13 +10,14 @@ from lexiloom.plans import references
 from lexiloom.sources.tables import table
 
 
-def entries(spark: SparkSession, sf: str, glyphs: int | None = 500) -> DataFrame:
-    """One word for each order of at most five lines, a character for each line, and one shape-coded character for each part below 500.
+#: Size of the alphabet: characters are part numbers modulo this; None for the part numbers themselves, an alphabet that grows with the data.
+GLYPHS: int | None = 500
 
-    With ``glyphs`` None a character is its part's number, so that the alphabet grows with the data.
-    """
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    """One word for each order of at most five lines, a character for each line, and one shape-coded character for each part below 500."""
     line, orders, part = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
-    number = F.col("l_partkey") if glyphs is None else F.col("l_partkey") % glyphs
+    number = F.col("l_partkey") if GLYPHS is None else F.col("l_partkey") % GLYPHS
     mark = F.when(F.col("l_orderkey") % 53 == 0, ";B423").when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), ";B97").otherwise("")
     glyph = F.concat(F.lit("B"), number.cast("string"), mark).alias("g")
     lines = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", glyph))).alias("a")).where(F.size("a") <= 5)
@@ -39,8 +40,8 @@ def entries(spark: SparkSession, sf: str, glyphs: int | None = 500) -> DataFrame
     return word.unionByName(shape).withColumn("ordinal", F.col("numeric_id"))
 
 
-def lexicon(spark: SparkSession, sf: str, glyphs: int | None = 500) -> Lexicon:
-    return Lexicon(entries(spark, sf, glyphs), references.indicators(spark), references.MODIFIERS, references.EXCEPTIONS)
+def lexicon(spark: SparkSession, sf: str) -> Lexicon:
+    return Lexicon(entries(spark, sf), references.indicators(spark), references.MODIFIERS, references.EXCEPTIONS)
 
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:
