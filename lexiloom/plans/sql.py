@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexiloom.functions.text import DIALECT_PAIRS
+
 _W = r"[\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _MARK = "(!?B[0-9]+|!)"
 _CHAR = f";?B[0-9]+(;{_MARK})*;?"
@@ -127,7 +129,7 @@ part_of as (select id, pos, k, part from part_some union all select p.id, any_va
 _BASE = f"""{_GLOSS}, {_parts("glosses")},
 base_form as (select id, pos, form, min(k) as k from (select id, pos, k, {_collapse("replace(part, '_', ' ')")} as form from part_of) where form <> '' group by id, pos, form)
 """
-_DIALECT = "grey gray centre center theatre theater metre meter behaviour behavior favour favor favourite favorite harbour harbor labour labor neighbour neighbor armour armor parlour parlor organise organize realise realize organisation organization sterilisation sterilization oesophagus esophagus anaesthesia anesthesia caesarean cesarean diarrhoea diarrhea orthopaedic orthopedic faeces feces defence defense licence license counselling counseling traveller traveler jewellery jewelry programme program aluminium aluminum plough plow sceptical skeptical storey story moustache mustache"
+_DIALECT = " ".join(x for pair in DIALECT_PAIRS for x in pair)
 _SWAP = f"(select map_from_entries(list_transform(range(1, 67), lambda i: struct_pack(k := string_split('{_DIALECT}', ' ')[i], v := string_split('{_DIALECT}', ' ')[case when i % 2 = 1 then i + 1 else i - 1 end]))) as m)"
 
 
