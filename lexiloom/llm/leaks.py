@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 N = 12
 BLOCK_WORDS = 1_000_000
 SEGMENT = 10_000
+#: Texts, and windows of them, that a worker holds at once.
+TEXTS, WINDOWS = 1_000, 500_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -68,19 +70,19 @@ class Grams:
         if len(ids) < n or not len(self.key):
             return
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        at = np.flatnonzero(known[n:] - known[:-n] == n)
-        if not len(at):
-            return
-        windows = ids[at[:, None] + np.arange(n)]
-        key = self.hashed(windows)
-        low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-        for i in np.flatnonzero(high > low):
-            for j in range(low[i], high[i]):
-                if (self.gram[j] == windows[i]).all():
-                    yield int(at[i]), int(self.owner[j])
-
-
-def _blocks(items: DataFrame, item: str, text: str, n: int, block_words: int) -> list[list[tuple[int, list[str]]]]:
+        every = np.flatnonzero(known[n:] - known[:-n] == n)
+        for k in range(0, len(every), WINDOWS):
+            at = every[k : k + WINDOWS]
+            windows = ids[at[:, None] + np.arange(n)]
+            key = self.hashed(windows)
+            low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+            for i in np.flatnonzero(high > low):
+                for j in range(low[i], high[i]):
+                    if (self.gram[j] == windows[i]).all():
+                        yield int(at[i]), int(self.owner[j])
+
+
+def _blocks(items: DataFrame, item: str, text: str, n: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
     """The items' words by block; an item of many words lies in several segments."""
     rows = items.select(F.col(item).cast("bigint").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -121,7 +123,7 @@ def spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
         def scan(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
             of = grams.value.number.get
-            for batch in batches:
+            for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, len(b), TEXTS)):
                 texts = batch.column(1).to_pylist()
                 flat: list[int] = []
                 first = []
