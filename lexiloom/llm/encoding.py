@@ -10,7 +10,7 @@
    shuffle join with the table, by word, and comes back to its gap by position. A rare word has less than ``1 / hot_words``
    of the occurrences, so no key of that join is hot.
 
-Decoding joins every id with the table id -> piece, in order of position, and reads the joined bytes as UTF-8.
+Decoding joins every id with the table id -> piece, in order of position, and reads the joined bytes as UTF-8. That table is small and fixed.
 
 Null and empty texts have an empty list of ids. Rows with a null or repeated key keep their own lists: rows are told apart
 by a number given when they are cut, not by the key. Further columns of the input are ignored.
@@ -27,7 +27,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.sources.tables import kept
@@ -167,26 +167,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
     return whole.unionByName(filled).select(F.col("key").alias(key), "ids")
 
 
-def pieces(spark: SparkSession, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """``id, piece``: the tokenizer's vocabulary (bounded by the tokenizer, 50,256 rows)."""
+def pieces(tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> list[str]:
+    """The pieces of the vocabulary in hex, by id ('' where an id has none): 50,256 entries, a bound that the tokenizer sets."""
     with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
-        rows = [(int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, f)]
-    return spark.createDataFrame(rows, "id int, piece binary")
+        by_id = {int(rank): base64.b64decode(piece).hex() for piece, rank in map(bytes.split, f)}
+    return [by_id.get(i, "") for i in range(max(by_id) + 1)]
 
 
 def decode(ids: DataFrame, key: str = "doc_id", column: str = "ids", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """``<key>, text`` from lists of ids, by a join with the table of pieces.
+    """``<key>, text`` from lists of ids: every id is joined with its piece, and the pieces are read in order as UTF-8.
 
-    An empty list gives the empty text and a null list a null text; an id that isn't in the vocabulary is an error of the
-    input and makes the text null. Keys must be unique. A list is exploded and gathered again by key, so the largest
-    group is one record.
+    The table of pieces has a fixed size, so it travels with the plan as one array in which an id finds its piece by position: rows aren't
+    taken apart and nothing is shuffled. An empty list gives the empty text and a null list a null text; an id that isn't in the vocabulary is
+    an error of the input and makes the text null. Rows with null or repeated keys are decoded each for itself.
     """
-    one = ids.select(F.col(key).alias("key"), F.posexplode(column).alias("pos", "id"))
-    text = (
-        one.join(F.broadcast(pieces(ids.sparkSession, tokenizers, name)), "id", "left")
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))).alias("p"))
-        .select("key", F.when(~F.exists("p", lambda x: x["piece"].isNull()), F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")), "UTF-8")).alias("t"))
-    )
-    every = ids.select(F.col(key).alias("key"), F.size(column).alias("n"))
-    return every.join(text, "key", "left").select(F.col("key").alias(key), F.when(F.col("n") == 0, F.lit("")).otherwise(F.col("t")).alias("text"))
+    table = F.split(F.lit(" ".join(p or "-" for p in pieces(tokenizers, name))), " ")  # folded to a constant once
+    found = ids.select(F.col(key).alias("key"), F.transform(column, lambda i: F.get(table, i)).alias("p"))
+    bad = F.exists("p", lambda x: x.isNull() | (x == "-"))
+    text = F.when(F.size("p") == 0, F.lit("")).when(~bad, F.decode(F.unhex(F.array_join("p", "")), "UTF-8"))
+    return found.select(F.col("key").alias(key), text.alias("text"))
