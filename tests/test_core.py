@@ -94,6 +94,17 @@ def test_first_neighbours(spark):
     assert sorted(map(tuple, matching.counts(lex).select("target_id", "side", "n").collect())) == want
 
 
+def test_first_neighbours_behind_spans(spark):
+    """More spans of the target under one next character than a list has to spare, while others fill the limit."""
+    words = [*((i, "B1/B2", "") for i in range(1, 13)), (13, "B1/B2/B7", ""), *((i, f"B1/B9/B{16 + i}", "") for i in range(14, 22)), (30, "B1/B3/B1/B2", "")]
+    words += [(100 + i, "/".join(reversed(code.split("/"))), "") for i, code, _ in words]
+    lex = lexicon(spark, words)
+    rows = lambda df: sorted(map(tuple, df.select("target_id", "side", "rank", "helper_id", "shared_len").collect()))
+    got = rows(matching.first_neighbours(lex))
+    assert [r[3] for r in got if r[:2] == ("B30", "start")] == [f"B{i}" for i in range(13, 21)]
+    assert got == rows(matching.capped(matching.neighbours(lex)))
+
+
 def test_legend(spark):
     lex = lexicon(spark, [(1, "B100/B200/B300", "t"), (2, "B100/B401/B402", "n"), (3, "B777/B300", "e"), (4, "B401", "alpha"), (5, "B402", "beta"), (6, "B401/B402", "widget"), (7, "B777", "omega"), (8, "B100", "first")])
     shown = matching.capped(matching.neighbours(lex))
