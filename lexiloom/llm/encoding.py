@@ -8,7 +8,10 @@
    few by their length.
 4. Each text is cut again and the ids of its hot words are put in place. What remains, its rare words, goes through a
    shuffle join with the table, by word, and comes back to its gap by position. A rare word has less than ``1 / hot_words``
-   of the occurrences, so no key of that join is hot.
+   of the occurrences, so no key of that join is hot. A gap whose word isn't in the table is an error.
+
+The JVM, Python and the tokenizer's library know different versions of Unicode. A text with a character that they don't class alike
+(``disputed``, such as a letter newer than the JVM) is encoded whole by the library where it stands, so the words of all others are in the table.
 
 Decoding joins every id with the table id -> piece, in order of position, and reads the joined bytes as UTF-8. That table is small and fixed.
 
@@ -27,7 +30,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.sources.tables import kept
@@ -76,6 +79,42 @@ def split_words(text: str) -> list[str]:
     return full(text) if odd(text) else plain(text)
 
 
+@cache
+def _classes() -> tuple[list[tuple[set[str], set[str], set[str]]], set[str]]:
+    """Letters, numbers and white space as the tokenizer's library, regex and re have them, and the numbers for which re isn't asked."""
+    import regex
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([i]): i for i in range(256)}
+    library = lambda rule: set(bytes(tiktoken.Encoding("bytes", pat_str=rule, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode())
+    white = set(re.findall(f"[{WHITE}]", every))
+    ours = [
+        (library(r"\p{L}"), library(r"\p{N}"), library(r"\s")),
+        (set(regex.findall(r"\p{L}", every)), set(regex.findall(r"\p{N}", every)), white),
+        (set(re.findall(r"[^\W\d_]", every)), set(re.findall(r"\d", every)), white),
+    ]
+    return ours, set(regex.findall(r"[\p{Nl}\p{No}]", every))
+
+
+def disputed(spark: SparkSession) -> np.ndarray:
+    """The characters that the executors' JVM, Python and the tokenizer's library don't class alike (some ten thousand), as a truth value for each code point."""
+
+    def chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"s": ["".join(chr(c) for c in range(k << 12, k + 1 << 12) if not 0xD800 <= c < 0xE000) for k in batch.column(0).to_pylist()]})
+
+    only = [F.regexp_replace("s", rf"(?U){other}+", "") for other in (r"\P{L}", r"\P{N}", r"\S")]
+    rows = [set("".join(x)) for x in zip(*spark.range(0, 0x110000 >> 12, 1, 2).mapInArrow(chars, "s string").select(*only).collect())]
+    (library, full, plain), odd = _classes()
+    out: set[str] = set()
+    for k in range(3):
+        out |= (library[k] ^ rows[k]) | (library[k] ^ full[k]) | ((library[k] ^ plain[k]) - odd)
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in out]] = True
+    return table
+
+
 @cache
 def encoder(path: str):
     """The tokenizer of a file of ranks, without special tokens; cached by worker."""
@@ -114,7 +153,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     key_type = docs.schema["key"].dataType.simpleString()
-    words = word_table(docs, "text", f"{tokenizers}/{name}.tiktoken")
+    path = f"{tokenizers}/{name}.tiktoken"
+    words = word_table(docs, "text", path)
+    apart = spark.sparkContext.broadcast(disputed(spark))
     total = words.agg(F.sum("n")).first()[0] or 0
     hot = (F.col("n") * F.lit(hot_words) >= F.lit(total)) | F.col("word").rlike(SHORT_NUMBER)
     known, lists = [], []
@@ -130,20 +171,32 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
         part, row, of = TaskContext.get().partitionId(), 0, number.value.get
         flat_ids, ends = held.value
         size = np.append(np.diff(ends), 0)  # the last is for words without a number, -1
+        differs = apart.value
         for whole_batch in batches:
             for batch in (whole_batch.slice(k, TEXTS_AT_ONCE) for k in range(0, len(whole_batch), TEXTS_AT_ONCE)):
                 words: list[str] = []
                 starts = []
+                alone: list[int] = []  # where a text stands as one word, as it is encoded whole
                 for t in batch.column(1).to_pylist():
                     starts.append(len(words))
-                    if t:
+                    if t and (t.isascii() or not differs[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any()):
                         words += split_words(t)
+                    elif t:
+                        alone.append(len(words))
+                        words.append(t)
                 numbers = np.fromiter(map(of, words, repeat(-1)), np.int64, len(words))
+                all_ids, all_ends, all_size = flat_ids, ends, size
+                if alone:
+                    lists = [encoder(path).encode_ordinary(words[i]) for i in alone]
+                    numbers[alone] = len(ends) - 1 + np.arange(len(alone))
+                    all_ids = np.concatenate([flat_ids, np.fromiter(chain.from_iterable(lists), np.int32)])
+                    all_ends = np.append(ends, ends[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64))
+                    all_size = np.append(np.diff(all_ends), 0)
                 gap = np.flatnonzero(numbers < 0)
-                sizes = size[numbers]
+                sizes = all_size[numbers]
                 before = np.concatenate([[0], np.cumsum(sizes)])
                 # the ids of all words in a row: from each word's first id on, as many as it has
-                ids = flat_ids[np.repeat(ends[numbers] - before[:-1], sizes) + np.arange(before[-1])]
+                ids = all_ids[np.repeat(all_ends[numbers] - before[:-1], sizes) + np.arange(before[-1])]
                 first = np.array(starts)
                 edges = np.sort(np.concatenate([first, gap]), kind="stable")
                 gap_ends = np.append(np.searchsorted(gap, first), len(gap)).astype(np.int32)
@@ -157,9 +210,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
     placed = kept(docs.mapInArrow(place, f"key {key_type}, row bigint, runs array<array<int>>, gaps array<string>"), "placed")
     whole = placed.where(F.size("gaps") == 0).select("key", F.col("runs")[0].alias("ids"))
     open_ = placed.where(F.size("gaps") > 0)
+    known_ids = F.coalesce("ids", F.raise_error(F.concat(F.lit("a word without ids: "), "word")).cast("array<int>"))
     rare = (
         open_.select("row", F.posexplode("gaps").alias("pos", "word"))
-        .join(words.where(~hot).select("word", "ids"), "word")
+        .join(words.where(~hot).select("word", "ids"), "word", "left")
+        .select("row", "pos", known_ids.alias("ids"))
         .groupBy("row")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("fill"))
     )

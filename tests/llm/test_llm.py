@@ -382,6 +382,18 @@ def test_encoding(spark):
     assert back == {i: x or "" for i, x in enumerate(texts)}
 
 
+def test_encoding_new_letters(spark):
+    """Letters that the JVM, Python or the tokenizer's library don't know, alone and beside others, in texts with and without rare words."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    new = ["\u9fff", "\U00031350", "\U0002ebf0", "\ua7c0", "\U0001df00", "\u1c89", "\U00010d40", "\U000323b0", "\u088f"]
+    texts = [f"東{c}京" for c in new] + [f"rare word{i} a{c}b {c} !{c}! 7{c}8 the end" for i, c in enumerate(new)] + ["東京", "rare plain", "", None, "".join(new)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    for hot in (encoding.HOT_WORDS, 5):
+        assert {r.doc_id: r.ids for r in encoding.encode(df, hot_words=hot).collect()} == want
+
+
 def test_encoding_odd(spark):
     df = spark.createDataFrame([(None, "one two"), (None, "three"), (1, "same"), (1, "same")], "doc_id bigint, text string")
     got = [(r.doc_id, len(r.ids)) for r in encoding.encode(df, hot_words=2).collect()]
