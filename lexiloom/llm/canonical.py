@@ -3,7 +3,7 @@
 1. Values are reduced to distinct bare forms: no accents, case, marks or labels in brackets; tokens in order.
 2. Distinct tokens are joined to the list's vocabulary. Vocabulary and tokens are exploded into the strings that are left after dropping up to
    two letters; equal strings are an equi-join that finds every pair within that distance, and the pairs are verified by
-   the distance with transpositions. The vocabulary has the entries' words, their plurals, and whole entries written together.
+   the distance with transpositions. Long tokens are joined by equal pieces instead, as exactly. The vocabulary has the entries' words, their plurals, and whole entries written together.
 3. Each form's candidates are the entries that hold a repaired token of it. An entry counts if each content word of either side is matched
    by a word of the other; entries are ranked by soft TF-IDF (word weights from the list, similarities from the repairs), then by the words left over,
    edits and id.
@@ -19,6 +19,7 @@ Repeated rows give repeated results, an empty list gives -1 everywhere. Further
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -35,8 +36,10 @@ from lexiloom.sources.tables import kept
 
 # Words that an entry may gain or lose.
 SMALL = ["a", "an", "the", "some", "any", "to", "of", "or", "and", "in", "on", "for", "with", "is", "be", "it", "its", "my", "your", "this", "that", "one", "very", "maybe", "perhaps", "probably"]
-#: Longest token that is repaired; longer ones are compared letter by letter only (their variants grow with the square).
+#: Longest token that is joined by its variants, which grow with the square; pairs with a longer one are joined by pieces.
 LONGEST = 40
+#: Pieces of a long form: two edits change four at most, as a swap may touch two, so one of five is left as it is.
+PIECES = 5
 
 _LABEL = re.compile(r"[(\[{<][^()\[\]{}<>]*[)\]}>]")
 _PLURAL = re.compile(r"\((?:s|es|ies|pl|plural)\)", re.I)
@@ -81,22 +84,50 @@ def without(word: str, most: int) -> set[str]:
     return {"".join(c for i, c in enumerate(word) if i not in gone) for k in range(min(most, len(word)) + 1) for gone in combinations(range(len(word)), k)}
 
 
+def _piece(length: int, k: int, text: str) -> str:
+    """A key of fixed size, whatever the piece's length; the space keeps it apart from variants."""
+    return f"{length} {k} {hashlib.blake2b(text.encode(), digest_size=12).hexdigest()}"
+
+
+def filed(form: str) -> set[str]:
+    """What a form is joined by: its variants and, if a token beyond ``LONGEST`` may be near it, its pieces."""
+    n = len(form)
+    cuts = [n * k // PIECES for k in range(PIECES + 1)]
+    return without(form, 2) | ({_piece(n, k, form[cuts[k] : cuts[k + 1]]) for k in range(PIECES)} if n > LONGEST - 2 else set())
+
+
+def sought(token: str) -> set[str]:
+    """What a token is joined by: its variants and, if it is long, the pieces of forms of its length within two, moved by up to two."""
+    out = without(token, 2)
+    if len(token) > LONGEST - 2:
+        for n in range(len(token) - 2, len(token) + 3):
+            cuts = [n * k // PIECES for k in range(PIECES + 1)]
+            out |= {_piece(n, k, token[cuts[k] + by : cuts[k + 1] + by]) for k in range(PIECES) for by in range(-2, 3) if cuts[k] + by >= 0 and cuts[k + 1] + by <= len(token)}
+    return out
+
+
 def distance(a: str, b: str, most: int = 2) -> int:
     """Edits (insert, drop, replace, swap neighbours) from a to b; most + 1 if there are more."""
+    far = most + 1
     if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
+        return far
+    # only cells beside the diagonal can hold ``most`` or less
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
-            return most + 1
+        new: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                new[0] = i
+                continue
+            d = min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, before.get(j - 2, far) + 1)
+            new[j] = d
+        if min(new.values(), default=far) > most:
+            return far
         before, row = row, new
-    return min(row[-1], most + 1)
+    return min(row.get(len(b), far), far)
 
 
 def vocabulary(entries: list[tuple[int, str]]) -> dict[str, set[tuple[str, str, float]]]:
@@ -126,8 +157,12 @@ def repairs(tokens: DataFrame, entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(("form", "kind", "target", "cost"), r)) for r in rows], pa.schema([("form", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("cost", pa.float64())]))
 
     @F.pandas_udf("array<string>")
-    def dropped(x: pd.Series) -> pd.Series:
-        return x.map(lambda w: sorted(without(w, 2)))
+    def asks(x: pd.Series) -> pd.Series:
+        return x.map(lambda w: sorted(sought(w)))
+
+    @F.pandas_udf("array<string>")
+    def files(x: pd.Series) -> pd.Series:
+        return x.map(lambda w: sorted(filed(w)))
 
     @F.pandas_udf("int")
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -137,8 +172,8 @@ def repairs(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     forms = entries.mapInArrow(words, "form string, kind string, target string, cost double").groupBy("form", "kind", "target").agg(F.min("cost").alias("cost"))
     # few bytes hold many tokens, each with up to some hundred variants: a fixed number of tasks, which isn't reduced by size
     tasks = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens.sparkSession.sparkContext.defaultParallelism)
-    left = tokens.repartition(tasks).select("token", F.explode(dropped("token")).alias("part"))
-    right = forms.select("form").distinct().select("form", F.explode(dropped("form")).alias("part"))
+    left = tokens.repartition(tasks).select("token", F.explode(asks("token")).alias("part"))
+    right = forms.select("form").distinct().select("form", F.explode(files("form")).alias("part"))
     near = left.join(right.hint("shuffle_hash"), "part").select("token", "form").distinct().withColumn("edits", edits("token", "form"))
     size = F.least(F.length("token"), F.length("form"))
     allowed = F.when(size <= 2, 0).when(size <= 4, 1).otherwise(2)

@@ -282,6 +282,25 @@ def test_distance():
             assert canonical.without(a, 2) & canonical.without(b, 2)
 
 
+def test_long_tokens(spark):
+    """Tokens of more than LONGEST letters, on either side of it, with up to two edits anywhere."""
+    rnd = random.Random(5)
+    for _ in range(400):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randrange(canonical.LONGEST - 3, canonical.LONGEST + 25)))
+        b = a
+        for _ in range(2):
+            i, edit = rnd.randrange(len(b) - 1), rnd.randrange(4)
+            b = b[:i] + (b[i + 1] + b[i] + b[i + 2 :], b[i + 1 :], "d" + b[i:], "d" + b[i + 1 :])[edit]
+        assert canonical.sought(b) & canonical.filed(a), (a, b)
+    cuts = [45 * k // canonical.PIECES for k in range(1, canonical.PIECES)]
+    word = "abcdefghijklmnopqrstuvwxyzbdfhjlnprtvxzacegik"
+    swapped = word[: cuts[0] - 1] + word[cuts[0]] + word[cuts[0] - 1] + word[cuts[0] + 1 : cuts[2] - 1] + word[cuts[2]] + word[cuts[2] - 1] + word[cuts[2] + 1 :]
+    title = "the annual proceedings of the international society"
+    typed = {swapped: 1, word[:20] + word[21:]: 1, word[:3] + "z" + word[3:]: 1, word[:9] + word[12:]: -1, title.replace(" ", "").replace("proceed", "procede"): 2, "q" + word[:40]: 3, word[:41]: 3}
+    values = spark.createDataFrame([(k,) for k in typed], "value string")
+    assert {r.value: r.gloss_id for r in canonical.assign(values, entries(spark, [(1, word), (2, title), (3, word[:40])])).collect()} == typed
+
+
 # 6
 
 ITEMS = "row_no bigint, targetId string, charCount int, wanted int"
