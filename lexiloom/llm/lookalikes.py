@@ -115,7 +115,7 @@ def repaired(token: str, choice: dict[str, str]) -> str:
 def _patterns():
     twin, own = scripts()
     ambiguous = "".join(sorted(set(twin) | set(twin.values())))
-    return re.compile(f"[{''.join(map(re.escape, folds()))}]"), re.compile(f"[{''.join(twin)}]"), re.compile(f"[{TOKEN_LETTERS}]+"), ambiguous
+    return re.compile(f"[{''.join(map(re.escape, folds()))}]"), re.compile("[Ͱ-ϿЀ-ԯἀ-῿]"), re.compile(f"[{TOKEN_LETTERS}]+"), ambiguous
 
 
 def folded(text: str) -> str:
@@ -129,8 +129,8 @@ def canonical(text: str | None, choice: dict[str, str], cache_: dict[str, str] |
     if text is None or text.isascii():
         return text
     text = folded(text)
-    _, twins, token, _ = _patterns()
-    if not twins.search(text):
+    _, others, token, _ = _patterns()
+    if not others.search(text):
         return text
     known = {} if cache_ is None else cache_
 

@@ -514,6 +514,15 @@ def test_forms_odd(spark):
     assert lookalikes.normalised(df).count() == 6
 
 
+def test_every_twin_replaced(spark):
+    """Cyrillic and Greek words whose letters with twins are all Latin."""
+    texts = ["До", "Дo", "Ωο", "Ωo", "plain", "naïve"]
+    for limit in (lookalikes.CHOICES, -1):
+        got = {r.doc_id: r.text for r in lookalikes.normalised(documents(spark, texts), limit=limit).collect()}
+        assert [got[i] for i in range(6)] == ["До", "До", "Ωο", "Ωο", "plain", "naïve"]
+    assert set(rows(lookalikes.pairs(documents(spark, texts)))) == {(0, 1), (2, 3)}
+
+
 def test_vocabulary_decides(spark):
     """A word of letters with twins stays Cyrillic if nobody writes it in Latin."""
     of = lambda texts: {r.doc_id: r.text for r in lookalikes.normalised(documents(spark, texts)).collect()}
