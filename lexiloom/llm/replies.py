@@ -3,9 +3,10 @@
 A response is cut into clauses: the values of its lists, numbered lines, and sentences of what stands around them. A CRF tags each as
 answer, refusal, echo, foreign or unfinished, from its words, its kind and place, how much of it stands in the prompt, how foreign its
 words look, and whether brackets, quotes or sentences stay open. The field is fitted when the operator starts, on replies
-composed from the short lists below (``TRAIN`` of them) and on words whose language is known: the words of the prompts and guesses are English,
-and those that replies quote as words of another language aren't (at most ``WORDS`` rows of the table are read for them).
-Everything else covers every row and whole texts.
+composed from the short lists below (``TRAIN`` of them) and on words whose language is known: the words of the canonical entries and of the
+lists below are English, and those that replies quote as words of another language aren't. All rows are read for these words and all words are
+looked up; a vocabulary beyond ``VOCABULARY`` is an error. Only the fitting takes a sample of at most ``WORDS`` words of each language, by their
+digests, so that it doesn't depend on the order of rows or files. Everything covers every row and whole texts.
 
 A pair's defect, in this order: ``empty`` (no clause holds a letter or digit), ``truncated`` (the last clause is unfinished),
 none (a guess or sentence is an answer in English), else the tag with the most words: ``copies_question``, ``refusal`` or ``other_language``.
@@ -17,6 +18,7 @@ is unique. Further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -34,6 +36,8 @@ from lexiloom.llm.crf import CRF
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 TRAIN = 2_500
 WORDS = 20_000
+#: Most words of known language that are collected and broadcast (about 100 bytes each).
+VOCABULARY = 1_000_000
 
 # What the training replies are composed of.
 REFUSALS = [
@@ -320,13 +324,38 @@ def fitted(english: set[str], foreign: set[str], size: int = TRAIN) -> tuple[CRF
     return CRF(TAGS).fit(x, y), lang
 
 
-def _vocabulary(replies: DataFrame, glosses: DataFrame, limit: int) -> tuple[set[str], set[str]]:
-    """English and other words: those of the canonical entries (at most ``limit``), of the seeds, and words quoted as foreign in at most ``limit`` replies."""
-    english = {w for r in glosses.select("gloss").limit(limit).collect() if r.gloss for w in words_of(r.gloss)}
+def _vocabulary(replies: DataFrame, glosses: DataFrame) -> tuple[set[str], set[str], set[str], set[str]]:
+    """The words of all canonical entries, those of the English lists above, all words quoted as foreign, and those of the foreign lists."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sorted({(e, w) for e, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in words_of(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.bool_()), pa.array([w for _, w in found], pa.string())], ["english", "word"])
+
+    quoted = replies.where(F.col("text").contains('abroad')).select(F.lit(False).alias("english"), F.explode(F.expr("regexp_extract_all(text, 'abroad[^\"]*\"([^\"]+)\"', 1)")).alias("t"))
+    texts = glosses.where("gloss is not null").select(F.lit(True).alias("english"), F.col("gloss").alias("t")).unionByName(quoted)
+    got = texts.mapInArrow(cut, "english boolean, word string").distinct().limit(VOCABULARY + 1).toArrow()
+    if len(got) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} words of known language")
+    read: dict[bool, set[str]] = {True: set(), False: set()}
+    for e, w in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        read[e].add(w)
     seeds = {w for s in [*REFUSALS, *REFUSAL_STARTS, *REFUSAL_ENDS, *LEADS, *TAILS, *NUMBERED, *QUESTIONS] for w in words_of(s)}
-    quoted = replies.where(F.col("text").contains('abroad')).select(F.expr("regexp_extract_all(text, 'abroad[^\"]*\"([^\"]+)\"', 1)").alias("q")).limit(limit).collect()
-    foreign = {w for r in quoted for q in r.q for w in words_of(q)} | {w for s in [*FOREIGN, *FOREIGN_WORDS] for w in words_of(s)}
-    return english | seeds, foreign - english - seeds
+    return read[True], seeds, read[False], {w for s in [*FOREIGN, *FOREIGN_WORDS] for w in words_of(s)}
+
+
+def _sample(words: set[str], size: int) -> set[str]:
+    """At most ``size`` words, by their digests."""
+    return words if len(words) <= size else set(sorted(words, key=lambda w: (hashlib.md5(w.encode()).digest(), w))[:size])
+
+
+def judge_of(replies: DataFrame, glosses: DataFrame, size: int = TRAIN, limit: int = WORDS) -> tuple[CRF, Languages]:
+    """The field, fitted on a sample of the words, and the languages with all of them."""
+    listed, seeds, quoted, abroad = _vocabulary(replies, glosses)
+    english = listed | seeds
+    field, lang = fitted(_sample(listed, limit) | seeds, (_sample(quoted - english, limit) | abroad) - english, size)
+    lang.english, lang.foreign = english, (quoted | abroad) - english
+    return field, lang
 
 
 def pairs(submissions: DataFrame, prompts: DataFrame, glosses: DataFrame, size: int = TRAIN, limit: int = WORDS) -> DataFrame:
@@ -335,7 +364,7 @@ def pairs(submissions: DataFrame, prompts: DataFrame, glosses: DataFrame, size:
     replies = submissions.select("ord", F.coalesce(F.col("rawResponseText"), F.col("candidates")).alias("text"), "interaction_id")
     asked = prompts.where("interaction_id is not null").select("interaction_id", "prompt")
     both = replies.join(asked, "interaction_id", "left").select("ord", "text", "prompt")
-    model = spark.sparkContext.broadcast(fitted(*_vocabulary(replies, glosses, limit), size))
+    model = spark.sparkContext.broadcast(judge_of(replies, glosses, size, limit))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, lang = model.value

@@ -235,6 +235,24 @@ def test_defects_of_a_table(spark):
     assert replies.found(s.limit(0), p.limit(0), g.limit(0)).count() == 0
 
 
+def test_words_of_all_rows(spark):
+    """Words are looked up in all entries and replies, whatever the size of the sample to fit on and the order of rows."""
+    letters = "abcdefghijklmnopqrst"
+    glosses = [f"stone {a}u{b}o" for a in letters for b in letters] + ["wolke", "fenster"]
+    texts = ['["Wolke", "Fenster"]'] + [f'["stone"]\nNote: a related word abroad is "stor{a}e".' for a in letters] + ['["storae", "storte"]']
+    seen = set()
+    for turn in (1, -1):
+        s = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)][::turn], "ord bigint, rawResponseText string, candidates string, interaction_id bigint")
+        p = spark.createDataFrame([(1, PROMPT)], "interaction_id bigint, prompt string")
+        g = spark.createDataFrame([(x,) for x in glosses[::turn]], "gloss string")
+        field, lang = replies.judge_of(s.withColumn("text", F.col("rawResponseText")), g, limit=5)
+        assert {w for x in glosses for w in x.split()} <= lang.english and {f"stor{a}e" for a in letters} <= lang.foreign and not lang.foreign & lang.english
+        got = {r.ord: r.defect for r in replies.found(s, p, g, limit=5).collect()}
+        assert 0 not in got and got[len(texts) - 1] == "other_language"
+        seen.add((tuple(sorted(got.items())), tuple(sorted(lang.score.items()))))
+    assert len(seen) == 1
+
+
 # 5
 
 LIST = [(1, "fancy vanilla"), (2, "to postpone carriage"), (3, "glove"), (4, "ancient river"), (5, "ancient volcano"), (6, "library"), (7, "Grey Wolf"), (8, None), (None, "x y")]
