@@ -12,11 +12,15 @@ from lexiloom.sources import sinks
 from lexiloom.sources.tables import kept
 
 
+#: Most different runners, or prompt versions, that a summary lists.
+NAMES = 1000
+
+
 def score_report(submissions: DataFrame, answers: DataFrame, universe: DataFrame, set_name: str = "all", provenance: dict | None = None) -> tuple[DataFrame, dict]:
     """The scored rows in the order of their first submission, and the summary.
 
     ``submissions`` has ord, targetId, candidates, rawResponseText, runner and promptVersion; ``answers`` target_id, pos and answers; ``universe`` target_id.
-    The driver gets one row for each part of speech and one of coverage.
+    The driver gets one row for each part of speech, one of coverage, and the runners and prompt versions; more than ``NAMES`` of either are an error.
     """
     last = scoring.last_rows(submissions).join(universe.select(F.col("target_id").alias("targetId")).distinct(), "targetId", "left_semi")
     rows = kept(scoring.scored(last, answers), "scored")
@@ -27,7 +31,10 @@ def score_report(submissions: DataFrame, answers: DataFrame, universe: DataFrame
 
     def first_seen(column: str) -> list[str]:
         seen = submissions.join(rows.select(F.col("target_id").alias("targetId")), "targetId", "left_semi").where(F.col(column).isNotNull()).groupBy(column).agg(F.min("ord").alias("o"))
-        return [r[0] for r in seen.orderBy("o").select(column).limit(1000).collect()]
+        names = [r[0] for r in seen.orderBy("o").select(column).limit(NAMES + 1).collect()]
+        if len(names) > NAMES:
+            raise ValueError(f"more than {NAMES} values of {column}")
+        return names
 
     versions = first_seen("promptVersion") if "promptVersion" in submissions.columns else []
     summary = {"set": set_name, "official": cover["official"], **(provenance or {}), "runner": first_seen("runner"), "promptVersion": versions, **whole, "byPos": dict(sorted(parts.items())), "coverage": {n: cover[n] for n in names}}

@@ -230,6 +230,16 @@ def test_report(spark):
     assert s["official"]
 
 
+def test_report_of_many_runners(spark):
+    """As many names as a summary lists, and one more, which is an error."""
+    key = spark.createDataFrame([("B1", "noun", ["cat"])], "target_id string, pos string, answers array<string>")
+    sent = spark.range(1, 1002).selectExpr("id as ord", "'B1' as targetId", "'[\"cat\"]' as candidates", "cast(null as string) as rawResponseText", "concat('r', id) as runner")
+    _, s = report.score_report(sent.where("ord <= 1000"), key, key.select("target_id"))
+    assert s["runner"] == [f"r{i}" for i in range(1, 1001)]
+    with pytest.raises(ValueError, match="runner"):
+        report.score_report(sent, key, key.select("target_id"))
+
+
 def test_by_pos(spark):
     rows = spark.createDataFrame([("noun", True, True, 1.0), ("noun", False, False, 0.0), ("action", False, False, 0.0)], "pos string, top1 boolean, top5 boolean, reciprocal_rank double")
     got = {r.pos: r for r in scoring.summary(rows).collect()}
