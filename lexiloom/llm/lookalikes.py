@@ -13,7 +13,10 @@ script, and the dominant script is the one in which the whole token can be writt
 The method named asks the vocabulary for every mixed token. It decides here only where two results are possible: a mixed
 token with one possible result is repaired though the corpus may hold no clean copy (identifiers, encoded images), as the
 required pairs need one form for all that looks the same. The choice depends on nothing but the look of the token, so equal
-looks always get equal forms.
+looks get equal forms as far as the table of look-alikes goes. It has the Cyrillic letters of ``CYRILLIC`` and the Greek ones of ``GREEK``
+(capitals and the small omicron), also with accents. Left as they are: other small Greek letters (nu, rho, alpha, iota), further Cyrillic letters
+(palochka, U+04AE), Armenian and Cherokee letters, and Latin letters that look like another (U+0251, dotless i); texts that
+differ by these keep different forms.
 
 Null stays null and the empty text stays empty. ASCII texts are in their form already and aren't sent to Python. Repeated rows
 and null keys are kept. Further columns are ignored.
