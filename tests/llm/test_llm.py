@@ -91,11 +91,20 @@ def test_copies(spark):
     values = [(i, rnd.choice(["B7", "b7 ", "B8", "?", None, "B-7"]), rnd.choice([*texts, None])) for i in range(600)]
     want = brute_copies(values)
     df = sent(spark, values).repartition(6)
-    assert rows(copies.copies(df)) == want and rows(copies.copies(df, fits=3)) == want
+    assert rows(copies.copies(df)) == want and rows(copies.copies(df, fits=500)) == want and rows(copies.copies(df, fits=0)) == want
     groups = Counter(k for k, _ in want)
-    got = rows(copies.records(df, fits=5))
+    got = rows(copies.records(df, fits=1000))
     assert [(k, n) for k, n in got if n > 1] == sorted((k, n + 1) for k, n in groups.items())
-    assert len(copies.split_prefixes(copies.heads(df, "ord", "targetId", "candidates").where("canon is not null"), 3)) > 0
+    heads = copies.heads(df, "ord", "targetId", "candidates")
+    table = copies.split_prefixes(heads, 900)
+    size, under = Counter(), {}
+    for r in heads.where("canon is not null").collect():
+        assert r.prefixes == copies.prefixes(bytes(r.canon))
+        for p in r.prefixes[:-1]:
+            size[p] += len(r.canon) + copies.NODE
+        under[bytes(r.canon)] = copies.bucket_of(r.prefixes, table)
+    assert np.unpackbits(table).sum() == len({p % copies.BITS for p, n in size.items() if n > 900}) > 0
+    assert all(size[b] <= 900 for c, b in under.items() if b != copies.prefixes(c)[-1])
 
 
 def test_copies_hot_and_flushed(spark):
@@ -103,8 +112,8 @@ def test_copies_hot_and_flushed(spark):
     df = sent(spark, values).repartition(5)
     want = [(0, i) for i in range(1, 900)]
     assert rows(copies.copies(df)) == want
-    small = copies.heads(df, "ord", "targetId", "candidates", local=10)
-    found = copies.groups(small, 7)
+    small = copies.heads(df, "ord", "targetId", "candidates", local=3000)
+    found = copies.groups(small, 1500)
     got = small.where("ord is not null").join(found, "head").where("ord <> kept_ord").select("kept_ord", "ord")
     assert rows(got) == want
 
@@ -116,6 +125,45 @@ def test_copies_odd(spark):
     assert rows(copies.copies(sent(spark, odd))) == [(1, 2), (4, 5), (6, 7), (9, 10)]
 
 
+def test_copies_long_common_beginning(spark):
+    """Records that differ far behind a common beginning, and chains of beginnings, in a number of jobs that doesn't depend on its length."""
+    same = "x" * 1200
+    values = [(i, "B1", f'["{same}{i // 2}"]') for i in range(60)] + [(100 + i, "B2", '["' + "y" * (1 + i // 2 * 40) + '"]') for i in range(60)]
+    df = sent(spark, values).repartition(3)
+    spark.sparkContext.setJobGroup("long", "long")
+    assert rows(copies.copies(df, fits=1000)) == [(i, i + 1) for k in (0, 100) for i in range(k, k + 60, 2)]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("long")) < 10
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_deep_json(spark):
+    """Nesting beyond the depth of calls: fields in another order are the same, other values and broken texts aren't."""
+
+    def nested(depth, inner, swap=False):
+        a, b = ('{"a":1, "b":', "}") if not swap else ('{"B" :', ', "a":1.0}')
+        return a * depth + inner + b * depth
+
+    values = [(1, "B1", nested(1200, '"x"')), (2, "B1", nested(1200, '"X!"', True)), (3, "B1", nested(1201, '"x"')), (4, "B1", nested(1200, '"y"')), (5, "B1", nested(1200, '"x"')[:-1])]
+    values += [(6, "B1", "[" * 5000 + '"x"' + "]" * 5000), (7, "B1", "[ " * 5000 + ' "X" ' + "]" * 5000), (8, "B1", "[" * 5000 + '"x", []' + "]" * 5000)]
+    assert rows(copies.copies(sent(spark, values))) == [(1, 2), (6, 7)]
+    atom = lambda v: repr(str(v))
+    rnd = random.Random(3)
+
+    def value(depth):
+        k = rnd.randrange(7 if depth else 5)
+        return [None, True, 1.5, "a\\n", 7][k] if k < 5 else [value(depth - 1) for _ in range(rnd.randrange(3))] if k == 5 else {rnd.choice("abc"): value(depth - 1) for _ in range(rnd.randrange(3))}
+
+    for _ in range(300):
+        text = json.dumps(value(4), indent=rnd.choice([None, 1]))
+        form = copies._deep(text, lambda v: f'"{copies.bare(v)}' if type(v) is str else "#" + copies._number(v) if isinstance(v, str) else f"~{v}")
+        assert copies.content('["x",' + text + "]") == '["x,' + form + "]"
+        broken = text[: rnd.randrange(len(text))] + rnd.choice(["", "]", "}", ",", ":", "x"])
+        try:
+            json.loads(broken)
+        except ValueError:
+            assert copies._deep(broken, atom) is None, broken
+
+
 def test_numbers():
     for a, b in (("1", "1.0"), ("100", "1e2"), ("0.10", "1E-1"), ("-0", "0"), ("12e0", "1.2e+1")):
         assert copies._number(a) == copies._number(b)
@@ -127,7 +175,13 @@ def test_trie():
     trie = copies.Trie()
     for w in words:
         trie.terminal(w).append(1)
-    assert {s: len(t) for s, t in trie.terminals()} == Counter(words) and trie.size == 5
+    assert {s: len(t) for s, t in trie.terminals()} == Counter(words) and trie.bytes > 0
+    rnd = random.Random(6)
+    many = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    trie = copies.Trie()
+    for w in many:
+        trie.terminal(w).append(1)
+    assert {s: len(t) for s, t in trie.terminals()} == Counter(many)
 
 
 # 3
