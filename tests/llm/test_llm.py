@@ -252,9 +252,8 @@ def test_runs_odd(spark):
 
 @pytest.fixture(scope="module")
 def judge():
-    english = {"red", "fox", "blue", "house", "bright", "river", "to", "carry", "stone", "small", "apple"} | {w for s in [*replies.REFUSALS, *replies.REFUSAL_STARTS, *replies.REFUSAL_ENDS, *replies.LEADS, *replies.TAILS, *replies.NUMBERED, *replies.QUESTIONS] for w in replies.words_of(s)}
-    foreign = {w for s in [*replies.FOREIGN, *replies.FOREIGN_WORDS] for w in replies.words_of(s)} - english
-    return replies.fitted(english, foreign)
+    field, lang = replies.fitted()
+    return replies.Judge(field, lang.list({"red", "fox", "blue", "house", "bright", "river", "to", "carry", "stone", "small", "apple", "hammock", "thimble", "umbrella"}))
 
 
 PROMPT = "Guess the English headword for these glyphs and give a JSON list.\n\nSpelling: B12/B34  (2 characters)\nHelpers found inside:\n  - B7: red fox"
@@ -268,16 +267,53 @@ PAIRS = [
 
 @pytest.mark.parametrize(("text", "want"), PAIRS)
 def test_defects(judge, text, want):
-    assert replies.defect(text, PROMPT, *judge)[0] == want
+    assert judge.defect(text, PROMPT)[0] == want
+
+
+# Written apart from the phrases that training replies are composed of.
+HELD_OUT = {
+    None: [
+        '["yacht", "xylophone"]', "It probably means happiness or joy.", '["gherkin"]', "lighthouse", "Umbrella, most likely.", "I would go for small river.", 'Possibly ["stone wall", "quarry"]?', '{"candidates": ["wheelbarrow"], "why": "a cart with one wheel"}',
+        "1) red fox\n2) small fox\n3) blue fox", "- apple\n- pear tree\n- orchard", 'Tough one! "to carry water" fits best.', "Cannot promise anything, but it reads like a bright house.", '["to carry a stone uphill without help"]', "My money is on a thimble or a hammock.",
+        '["Red Fox (animal)", "blue hous"]', 'Though I refused at first, here you go: ["river"]', "The two signs give house plus water, so a boat.", '["parsnip", "llama", "kayak"]', '["red fox"]\nIn Spanish you would say "zorro".', "The meaning is to walk slowly.",
+    ],
+    "empty": ["{}", '[""]', "...", "[[], []]", '{"candidates": [], "note": ""}', "``` ```", "?!", "—", '[" ", "-"]', "[null]"],
+    "truncated": ['["red fox", "blu', '["red fox",', '{"candidates": ["stone", "ri', "1. red fox\n2. blue house\n3. ho", "The first sign shows a house while the second one looks like the", '```json\n["red fox", "small', 'I would go for ["bright riv', "It may be a stone or a sma", '{"candidates": [', "Five ideas:\n1. apple\n2. stone\n3."],
+    "refusal": [
+        "I'm going to have to turn this one down.", "Sadly I am prevented from deciphering such signs.", "I can't make out what these signs say, so I won't answer.", "Nope, I am not going to answer that.", "I don't have enough to go on, so no guess from me.", "Answering would break my rules.", '["I am unable to answer"]',
+        "I must respectfully decline.", '{"candidates": [], "reason": "I cannot interpret these symbols"}', "It is not something I can help you with, I'm afraid.", "I do not know the answer to this.", "Regrettably I can offer no interpretation here.",
+    ],
+    "copies_question": [PROMPT, "  " + PROMPT.replace("\n", " "), PROMPT.split("\n")[0], "“" + PROMPT.split("\n")[0] + "”", "The question: " + PROMPT, PROMPT.title(), "Spelling: B12/B34  (2 characters)\nHelpers found inside:\n  - B7: red fox", json.dumps([PROMPT.split("\n")[0]]), PROMPT + "\n" + PROMPT, "* " + PROMPT.replace("\n", "\n* ")],
+    "other_language": [
+        '["perro", "gato"]', '["köpek", "kedi"]', '["chó", "mèo", "cây"]', '["kutya", "macska"]', '["anjing", "kucing"]', '["casa vieja", "puente"]', "Sanırım bu kelime ev veya ağaç demek.", "Tôi nghĩ từ này có nghĩa là ngôi nhà.", "Saya rasa perkataan ini bermaksud rumah.", "Szerintem ez a szó házat jelent.", '["σπίτι"]',
+        "Questo segno vuol dire casa oppure chiesa.", "Dit woord betekent waarschijnlijk brug of rivier.", '["집", "나무"]', "Luulen että sana tarkoittaa taloa.", '{"candidates": ["Schmetterling", "Vogelhaus"]}', "1. mariposa\n2. pájaro\n3. flor", "Думаю, это дом.",
+    ],
+}
 
 
 def test_held_out_accuracy(judge):
+    """Replies of other phrases than the field was fitted on: nine tenths of each kind are right."""
+    for want, texts in HELD_OUT.items():
+        wrong = [(t, got) for t in texts if (got := judge.defect(t, PROMPT)[0]) != want]
+        print(want, len(texts), wrong)
+        assert len(wrong) <= 0.1 * len(texts), (want, wrong)
+
+
+def test_composed_replies(judge):
     """Composed replies that weren't in training: another seed of the same composition."""
-    fresh = replies.training(["red", "fox", "stone", "apple"], ["Wolke", "fenêtre", "llave", "ekorre"], replies.TRAIN + 400)[replies.TRAIN :]
+    sure, some, foreign = map(sorted, replies.vocabularies(encoding.TOKENIZERS))
     names = {"answer": None, "refusal": "refusal", "echo": "copies_question", "foreign": "other_language"}
-    sure = [(t, p, names[k]) for t, p, k in fresh if k in names]
-    right = sum(replies.defect(t, p, *judge)[0] == want for t, p, want in sure)
-    assert right >= 0.93 * len(sure)
+    fresh = [(t, p, names[k]) for t, p, k, _ in replies.training(sure, sure[::40], some, foreign, 500, seed=8) if k in names]
+    right = sum(judge.defect(t, p)[0] == want for t, p, want in fresh)
+    assert right >= 0.95 * len(fresh)
+
+
+def test_languages():
+    lang = replies.Languages({"stone", "river"}, {"casa"}, {"puente", "noches"})
+    listed = lang.list({"vegetable", "damp"})
+    assert listed("vegetable") == 0 and listed("vegetble") == listed("végetable") == listed("dampvegetable") == listed("dampp") == 0.1 and listed("мост") == 1 and listed("stone's") == 0
+    assert listed("puente") > 0.5 and listed("") >= 0 and not listed.is_stub("stone") and listed.is_stub("sto")
+    assert replies.Languages(set(), set(), set())("word") >= 0
 
 
 def test_defects_of_a_table(spark):
@@ -289,22 +325,17 @@ def test_defects_of_a_table(spark):
     assert replies.found(s.limit(0), p.limit(0), g.limit(0)).count() == 0
 
 
-def test_words_of_all_rows(spark):
-    """Words are looked up in all entries and replies, whatever the size of the sample to fit on and the order of rows."""
-    letters = "abcdefghijklmnopqrst"
-    glosses = [f"stone {a}u{b}o" for a in letters for b in letters] + ["wolke", "fenster"]
-    texts = ['["Wolke", "Fenster"]'] + [f'["stone"]\nNote: a related word abroad is "stor{a}e".' for a in letters] + ['["storae", "storte"]']
-    seen = set()
-    for turn in (1, -1):
-        s = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)][::turn], "ord bigint, rawResponseText string, candidates string, interaction_id bigint")
-        p = spark.createDataFrame([(1, PROMPT)], "interaction_id bigint, prompt string")
-        g = spark.createDataFrame([(x,) for x in glosses[::turn]], "gloss string")
-        field, lang = replies.judge_of(s.withColumn("text", F.col("rawResponseText")), g, limit=5)
-        assert {w for x in glosses for w in x.split()} <= lang.english and {f"stor{a}e" for a in letters} <= lang.foreign and not lang.foreign & lang.english
-        got = {r.ord: r.defect for r in replies.found(s, p, g, limit=5).collect()}
-        assert 0 not in got and got[len(texts) - 1] == "other_language"
-        seen.add((tuple(sorted(got.items())), tuple(sorted(lang.score.items()))))
-    assert len(seen) == 1
+def test_no_word_of_the_replies_counts(spark, judge):
+    """Judgements of a reply depend on its own pair and the entries only, whatever other rows say and in which order they come."""
+    texts = ['["Wolke", "Fenster"]', '["stone"]\nNote: a related word abroad is "stone".', '["storae", "storte"]']
+    g = spark.createDataFrame([("stone apple",), ("red fox",)], "gloss string")
+    p = spark.createDataFrame([(1, PROMPT)], "interaction_id bigint, prompt string")
+    of = lambda rows: {r.ord: r.defect for r in replies.found(spark.createDataFrame(rows, "ord bigint, rawResponseText string, candidates string, interaction_id bigint"), p, g).collect()}
+    every = [(i, t, None, 1 if i % 2 else None) for i, t in enumerate(texts)]
+    got = of(every)
+    assert got[0] == "other_language" and 1 not in got and got == of(every[::-1] * 2) == {k: d for row in every for k, d in of([row]).items()}
+    with pytest.raises(ValueError, match="words"):
+        replies.listed_words(g, 3)
 
 
 # 5
