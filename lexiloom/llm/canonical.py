@@ -1,16 +1,18 @@
 """Free-typed values mapped to a canonical list: token repair by edit distance, then soft TF-IDF over whole entries.
 
-1. Values are reduced to distinct bare forms: no accents, case, marks or labels in brackets; tokens in order.
-2. Distinct tokens are joined to the list's vocabulary. Vocabulary and tokens are exploded into the strings that are left after dropping up to
-   two letters; equal strings are an equi-join that finds every pair within that distance, and the pairs are verified by
-   the distance with transpositions. Long tokens are joined by equal pieces instead, as exactly. The vocabulary has the entries' words, their plurals, and whole entries written together.
-3. Each form's candidates are the entries that hold a repaired token of it. An entry counts if each content word of either side is matched
-   by a word of the other; entries are ranked by soft TF-IDF (word weights from the list, similarities from the repairs), then by the words left over,
-   edits and id.
+1. Values are reduced to distinct bare forms: no accents, case, marks or labels in brackets; tokens in order. A form that is an entry's is that entry.
+2. Distinct tokens are joined to the list's vocabulary: the entries' words, their plurals, and whole entries written together. Two words within the
+   edits that their length allows have a common rest once as many letters are dropped from the beginning of each, so both are
+   filed under what is left of their first letters (``variants``), equal rests are an equi-join, and the pairs that meet are verified by the distance with
+   transpositions. How many first letters count depends on the list: as many as leave at most ``UNDER_ONE`` forms under one beginning.
+3. Each content word of a form must be matched by one of the entry and the other way round, so the entries that hold what the form's rarest
+   token stands for are all that can be its entry. Of each such pair of form and entry the words are matched at the least cost (``assigned``), and the entries are
+   ranked by soft TF-IDF (both sides' word weights from the list, similarities from the repairs), then by the words left over, edits and id.
 4. The forms' entries go back to the rows. A form without an entry gets -1: it differs from each by a whole word.
 
-The list is broadcast where Spark finds it small; tokens and forms are distinct before any join, so a value that a third of
-all rows hold is one row in steps 2 and 3, and step 4 is a join that Spark splits where a form is hot.
+The list and its tables are joined like any other, so Spark broadcasts them where their size in the shared folder is small and shuffles them where not; tokens and
+forms are distinct before any join, so a value that a third of all rows hold is one row in steps 2 and 3, and step 4 is a join that Spark splits where a
+form is hot. Pairs are ranked row by row and the best is an aggregate: nothing gathers the entries of a form.
 
 Null and blank elements and elements that are an entry letter for letter aren't reported; elements are numbered with them. An
 element without any letter or digit is reported with -1. Of entries with one bare form the smallest id holds. Null entries and ids are left out.
@@ -19,7 +21,6 @@ Repeated rows give repeated results, an empty list gives -1 everywhere. Further
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import unicodedata
@@ -36,10 +37,8 @@ from lexiloom.sources.tables import kept
 
 # Words that an entry may gain or lose.
 SMALL = ["a", "an", "the", "some", "any", "to", "of", "or", "and", "in", "on", "for", "with", "is", "be", "it", "its", "my", "your", "this", "that", "one", "very", "maybe", "perhaps", "probably"]
-#: Longest token that is joined by its variants, which grow with the square; pairs with a longer one are joined by pieces.
-LONGEST = 40
-#: Pieces of a long form: two edits change four at most, as a swap may touch two, so one of five is left as it is.
-PIECES = 5
+#: First letters that count at least, and the most forms under one beginning for which no more letters count.
+FIRST, UNDER_ONE = 7, 500
 
 _LABEL = re.compile(r"[(\[{<][^()\[\]{}<>]*[)\]}>]")
 _PLURAL = re.compile(r"\((?:s|es|ies|pl|plural)\)", re.I)
@@ -77,33 +76,14 @@ def edits_allowed(length: int) -> int:
     return 0 if length <= 2 else 1 if length <= 4 else 2
 
 
-def without(word: str, most: int) -> set[str]:
-    """The word with up to ``most`` letters left out."""
-    if len(word) > LONGEST:
-        return {word}
-    return {"".join(c for i, c in enumerate(word) if i not in gone) for k in range(min(most, len(word)) + 1) for gone in combinations(range(len(word)), k)}
+def variants(word: str, first: int = FIRST) -> set[str]:
+    """The first letters of a word with as many left out as its length allows edits.
 
-
-def _piece(length: int, k: int, text: str) -> str:
-    """A key of fixed size, whatever the piece's length; the space keeps it apart from variants."""
-    return f"{length} {k} {hashlib.blake2b(text.encode(), digest_size=12).hexdigest()}"
-
-
-def filed(form: str) -> set[str]:
-    """What a form is joined by: its variants and, if a token beyond ``LONGEST`` may be near it, its pieces."""
-    n = len(form)
-    cuts = [n * k // PIECES for k in range(PIECES + 1)]
-    return without(form, 2) | ({_piece(n, k, form[cuts[k] : cuts[k + 1]]) for k in range(PIECES)} if n > LONGEST - 2 else set())
-
-
-def sought(token: str) -> set[str]:
-    """What a token is joined by: its variants and, if it is long, the pieces of forms of its length within two, moved by up to two."""
-    out = without(token, 2)
-    if len(token) > LONGEST - 2:
-        for n in range(len(token) - 2, len(token) + 3):
-            cuts = [n * k // PIECES for k in range(PIECES + 1)]
-            out |= {_piece(n, k, token[cuts[k] + by : cuts[k + 1] + by]) for k in range(PIECES) for by in range(-2, 3) if cuts[k] + by >= 0 and cuts[k + 1] + by <= len(token)}
-    return out
+    Of two words within k edits, each can drop up to k letters so that the rests are equal, and the same holds for their first ``first`` letters: where
+    one of these beginnings has lost more than the other, the other's rest is cut by as many at its end, which is k in all at most.
+    """
+    start, most = word[:first], edits_allowed(len(word))
+    return {"".join(c for i, c in enumerate(start) if i not in gone) for k in range(min(most, len(start)) + 1) for gone in combinations(range(len(start)), k)}
 
 
 def distance(a: str, b: str, most: int = 2) -> int:
@@ -130,154 +110,219 @@ def distance(a: str, b: str, most: int = 2) -> int:
     return min(row.get(len(b), far), far)
 
 
-def vocabulary(entries: list[tuple[int, str]]) -> dict[str, set[tuple[str, str, float]]]:
-    """Each form of a word or of a whole entry: (kind, the word or the entry's id, what the form costs)."""
-    out: dict[str, set] = defaultdict(set)
-    for i, gloss in entries:
-        tokens = bare_tokens(gloss)
-        content = [t for t in tokens if t not in SMALL] or tokens
-        for t in tokens:
-            out[t].add(("word", t, 0.0))
-            if t in content:
-                for p in plurals(t):
-                    out[p].add(("word", t, 0.05))
-        if len(tokens) > 1:
-            out["".join(tokens)].add(("entry", str(i), 0.0))
-            out["".join(content)].add(("entry", str(i), 0.0))
-            out["".join(tokens) + "s"].add(("entry", str(i), 0.05))
+def vocabulary(i: int, tokens: list[str]) -> list[tuple[str, str, str, float]]:
+    """The forms of an entry's words and of the whole entry: the form, its kind, the word or the entry's id, what the form costs."""
+    out = []
+    content = [t for t in tokens if t not in SMALL] or tokens
+    for t in tokens:
+        out.append((t, "word", t, 0.0))
+        if t in content:
+            out += [(p, "word", t, 0.05) for p in plurals(t)]
+    if len(tokens) > 1:
+        out += [("".join(tokens), "entry", str(i), 0.0), ("".join(content), "entry", str(i), 0.0), ("".join(tokens) + "s", "entry", str(i), 0.05)]
     return out
 
 
-def repairs(tokens: DataFrame, entries: DataFrame) -> DataFrame:
-    """``token, kind, target, edits, cost``: each distinct token with the words or whole entries it may stand for."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(f, k, t, c) for i, g in zip(*(x.to_pylist() for x in batch.columns)) for f, whats in vocabulary([(i, g)]).items() for k, t, c in whats]
-            yield pa.RecordBatch.from_pylist([dict(zip(("form", "kind", "target", "cost"), r)) for r in rows], pa.schema([("form", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("cost", pa.float64())]))
-
-    @F.pandas_udf("array<string>")
-    def asks(x: pd.Series) -> pd.Series:
-        return x.map(lambda w: sorted(sought(w)))
+class Listed:
+    """A canonical list as tables: ``entries`` (gloss_id, form, tokens, weights), ``postings`` (word, the entry that holds it), ``forms`` (form, kind, target, cost, df) and ``filed`` (part, form)."""
+
+    def __init__(self, entries: DataFrame):
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens = [bare_tokens(g) for g in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(t) for t in tokens], pa.string())], ["gloss_id", "form"])
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.string(), pa.string(), pa.string(), pa.float64()]
+            for batch in batches:
+                rows = [r for i, f in zip(*(c.to_pylist() for c in batch.columns)) for r in vocabulary(i, f.split())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["form", "kind", "target", "cost"])
+
+        one = entries.select("gloss_id", "gloss").mapInArrow(cut, "gloss_id bigint, form string").where("form <> ''").groupBy("form").agg(F.min("gloss_id").alias("gloss_id"))
+        one = kept(one.select("gloss_id", "form"), "listed")
+        self.n = one.count()
+        place = one.select("gloss_id", "form", F.posexplode(F.split("form", " ")).alias("pos", "word"))
+        df = kept(place.select("gloss_id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df")), "df")
+        weighted = place.join(df, "word").groupBy("gloss_id", "form").agg(F.array_sort(F.collect_list(F.struct("pos", "word", F.log1p(F.lit(float(self.n)) / F.col("df")).alias("weight")))).alias("w"))
+        self.entries = kept(weighted.select("gloss_id", "form", F.transform("w", lambda x: x["word"]).alias("tokens"), F.transform("w", lambda x: x["weight"]).alias("weights")), "entries")
+        self.postings = kept(self.entries.select(F.explode(F.array_distinct("tokens")).alias("word"), "gloss_id", "tokens", "weights"), "postings")
+        forms = one.mapInArrow(spell, "form string, kind string, target string, cost double").groupBy("form", "kind", "target").agg(F.min("cost").alias("cost"))
+        self.forms = kept(forms.join(df.withColumnRenamed("word", "target"), "target", "left").select("form", "kind", "target", "cost", F.coalesce("df", F.lit(1)).alias("df")), "forms")
+        self.first = self._first()
+        first = self.first
+
+        @F.pandas_udf("array<string>")
+        def parts(x: pd.Series) -> pd.Series:
+            return x.map(lambda w: sorted(variants(w, first)))
+
+        self.filed = kept(self.forms.select("form").distinct().select("form", F.explode(parts("form")).alias("part")), "filed")
+
+    def _first(self) -> int:
+        """The number of first letters that leave at most ``UNDER_ONE`` forms under one beginning, or that all forms have."""
+        forms = self.forms.select("form").distinct()
+        first = FIRST
+        while True:
+            most = forms.where(F.length("form") > first).groupBy(F.substring("form", 1, first)).count().agg(F.max("count")).first()[0] or 0
+            if most <= UNDER_ONE:
+                return first
+            first += FIRST
+
+
+def repairs(tokens: DataFrame, listed: Listed) -> DataFrame:
+    """``token, kind, target, edits, cost, df``: each distinct token with the words or whole entries it may stand for."""
+    first = listed.first
 
     @F.pandas_udf("array<string>")
-    def files(x: pd.Series) -> pd.Series:
-        return x.map(lambda w: sorted(filed(w)))
+    def parts(x: pd.Series) -> pd.Series:
+        return x.map(lambda w: sorted(variants(w, first)))
 
     @F.pandas_udf("int")
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
     edits = edits.asNondeterministic()  # else the filter on it is moved below distinct and it runs for every common variant of a pair
-    forms = entries.mapInArrow(words, "form string, kind string, target string, cost double").groupBy("form", "kind", "target").agg(F.min("cost").alias("cost"))
-    # few bytes hold many tokens, each with up to some hundred variants: a fixed number of tasks, which isn't reduced by size
+    # few bytes hold many tokens, each with some dozen variants: a fixed number of tasks, which isn't reduced by size
     tasks = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens.sparkSession.sparkContext.defaultParallelism)
-    left = tokens.repartition(tasks).select("token", F.explode(asks("token")).alias("part"))
-    right = forms.select("form").distinct().select("form", F.explode(files("form")).alias("part"))
-    near = left.join(right.hint("shuffle_hash"), "part").select("token", "form").distinct().withColumn("edits", edits("token", "form"))
+    left = tokens.repartition(tasks).select("token", F.explode(parts("token")).alias("part"))
+    # without swaps the distance is twice as long at most, and the same up to one edit
+    plain = F.levenshtein("token", "form", 4)
+    met = left.join(listed.filed, "part").where(F.abs(F.length("token") - F.length("form")) <= 2).select("token", "form").distinct().withColumn("plain", plain).where("plain >= 0")
     size = F.least(F.length("token"), F.length("form"))
     allowed = F.when(size <= 2, 0).when(size <= 4, 1).otherwise(2)
-    return near.where(F.col("edits") <= allowed).join(forms, "form").select("token", "kind", "target", "edits", "cost")
-
-
-class Ranker:
-    """Ranks the entries for a form, given what its tokens may stand for."""
-
-    def __init__(self, entries: list[tuple[int, str]]):
-        self.tokens: dict[int, list[str]] = {}
-        self.by_word: dict[str, list[int]] = defaultdict(list)
-        self.exact: dict[tuple[str, ...], int] = {}
-        for i, gloss in sorted(entries):
-            tokens = bare_tokens(gloss)
-            if not tokens:
-                continue
-            self.exact.setdefault(tuple(tokens), i)
-            self.tokens[i] = tokens
-            for t in set(tokens):
-                self.by_word[t].append(i)
-        n = len(self.tokens) or 1
-        self.weight = {w: math.log(1 + n / len(ids)) for w, ids in self.by_word.items()}
-
-    def best(self, tokens: list[str], meaning: dict[str, list[tuple[str, str, int, float]]]) -> int:
-        """The entry's id, or -1. ``meaning`` has (kind, target, edits, cost) of each token and of all tokens written together."""
-        if (same := self.exact.get(tuple(tokens))) is not None:
-            return same
-        ranked: list[tuple[float, float, int, int]] = []
-        content = [t for t in tokens if t not in SMALL] or tokens
-        words = {t: {target: e + c for kind, target, e, c in sorted(meaning.get(t, []), key=lambda m: -(m[2] + m[3])) if kind == "word"} for t in tokens}
-        for t in tokens:
-            words[t][t] = 0.0
-        candidates = {i for t in content for w in words[t] for i in self.by_word.get(w, ())}
-        for i in candidates:
-            entry = self.tokens[i]
-            ours = [w for w in entry if w not in SMALL] or entry
-            # each content word of either side has its own partner on the other, cheapest first
-            free, score, edits, matched = list(tokens), 0.0, 0.0, True
-            for w in ours:
-                partner = min((t for t in free if w in words[t]), key=lambda t: words[t][w], default=None)
-                if partner is None:
-                    matched = False
-                    break
-                free.remove(partner)
-                edits += words[partner][w]
-                score += self.weight[w] ** 2 * (1 - words[partner][w] / (len(w) + 1))
-            if not matched or any(t in content for t in free):
-                continue
-            norm = math.sqrt(sum(self.weight[w] ** 2 for w in ours)) * math.sqrt(sum(self.weight.get(w, 1.0) ** 2 for w in ours))
-            small = sum(w not in tokens for w in entry if w in SMALL) + sum(t not in entry for t in free)
-            ranked.append((-score / norm, small, edits, i))
-        joined = "".join(tokens)
-        for t in {joined, "".join(content)}:
-            for kind, target, e, c in meaning.get(t, []):
-                if kind == "entry" and int(target) in self.tokens:
-                    ranked.append((-(1 - (e + c) / (len(t) + 1)), 0.0, e + c, int(target)))
-        if len(tokens) > 1:  # a word cut in two
-            for kind, target, e, c in meaning.get(joined, []):
-                if kind == "word" and e <= 1 and self.exact.get((target,)) is not None:
-                    ranked.append((-(1 - (e + c) / (len(joined) + 1)), 0.0, e + c, self.exact[(target,)]))
-        return min(ranked)[3] if ranked else -1
+    near = met.withColumn("edits", F.when((F.col("plain") <= 1) | (allowed == 0), F.col("plain")).otherwise(edits("token", "form")))
+    return near.where(F.col("edits") <= allowed).join(listed.forms, "form").select("token", "kind", "target", "edits", "cost", "df")
+
+
+def assigned(ways: list[dict[int, float]]) -> dict[int, int] | None:
+    """A partner for each row at the least cost in all, as row by partner; None if they can't all have one. ``ways`` has the possible partners of each row with their costs."""
+    owner: dict[int, int] = {}
+    for row, own in enumerate(ways):
+        # the cheapest chain of moves that frees a partner for this row
+        dist: dict[int, tuple[float, int | None]] = {c: (x, None) for c, x in own.items()}
+        queue = list(dist)
+        while queue:
+            c = queue.pop(0)
+            if c in owner:
+                base = dist[c][0] - ways[owner[c]][c]
+                for d, x in ways[owner[c]].items():
+                    if d not in dist or base + x < dist[d][0] - 1e-9:
+                        dist[d] = (base + x, c)
+                        queue.append(d)
+        free = [(x, c) for c, (x, _) in dist.items() if c not in owner]
+        if not free:
+            return None
+        c: int | None = min(free)[1]
+        while c is not None:
+            before = dist[c][1]
+            owner[c] = row if before is None else owner[before]
+            c = before
+    return owner
+
+
+def likeness(tokens: list[str], meaning: dict[str, dict[str, float]], own: dict[str, float], entry: list[str], weights: list[float]) -> tuple[float, float, float] | None:
+    """Minus the soft TF-IDF of a form and an entry, the small words that differ, and the edits; None if a content word of either has no partner.
+
+    ``meaning`` has the words that each token may stand for with their costs, ``own`` the tokens' weights.
+    """
+    content = {t for t in tokens if t not in SMALL} or set(tokens)
+    ours = [(w, x) for w, x in zip(entry, weights) if w not in SMALL] or list(zip(entry, weights))
+    far = 1000.0  # more than all costs: as many content words as possible get a partner
+    owner = assigned([{k: meaning[t][w] - (far if t in content else 0.0) for k, t in enumerate(tokens) if w in meaning[t]} for w, _ in ours])
+    if owner is None or any(t in content and k not in owner for k, t in enumerate(tokens)):
+        return None
+    score = edits = 0.0
+    for k, row in owner.items():
+        w, x = ours[row]
+        cost = meaning[tokens[k]][w]
+        edits += cost
+        score += x * own[tokens[k]] * (1 - cost / (len(w) + 1))
+    norm = math.sqrt(sum(x * x for _, x in ours)) * math.sqrt(sum(own[tokens[k]] ** 2 for k in owner))
+    small = sum(w not in tokens for w in entry if w in SMALL) + sum(k not in owner and t not in entry for k, t in enumerate(tokens))
+    return -round(score / norm, 9), float(small), round(edits, 9)
 
 
 def mapped(forms: DataFrame, entries: DataFrame) -> DataFrame:
-    """``form, gloss_id`` for distinct bare forms (tokens with spaces between)."""
-    spark = forms.sparkSession
-    tokens = F.split("form", " ")
-    pieces = F.array_union(tokens, F.array(F.array_join(tokens, ""), F.array_join(F.array_except(tokens, F.array(*map(F.lit, SMALL))), "")))
-    split = forms.select("form", F.explode(pieces).alias("token")).where("token <> ''")
-    fixed = repairs(split.select("token").distinct(), entries)
-    meant = split.join(fixed, "token").groupBy("form").agg(F.collect_list(F.struct("token", "kind", "target", "edits", "cost")).alias("meaning"))
-    listed = [(r.gloss_id, r.gloss) for r in entries.toLocalIterator()]
-    ranker = spark.sparkContext.broadcast(Ranker(listed))
+    """``form, gloss_id`` for distinct bare forms (tokens with spaces between) that have an entry."""
+    listed = Listed(entries)
+    unknown = math.log1p(listed.n)
+    exact = forms.join(listed.entries.select("form", "gloss_id"), "form")
+    rest = forms.join(listed.entries.select("form"), "form", "left_anti")
+    tokens, small = F.split("form", " "), F.array(*map(F.lit, SMALL))
+    joined, bare = F.array_join(tokens, ""), F.array_join(F.filter(tokens, lambda t: ~F.array_contains(small, t)), "")
+    split = rest.select("form", (F.size(tokens) > 1).alias("several"), joined.alias("joined"), bare.alias("bare"), F.explode(F.array_union(tokens, F.array(joined, bare))).alias("token")).where("token <> ''")
+    split = split.select("form", "several", "token", (F.col("token") == F.col("joined")).alias("is_joined"), ((F.col("token") == F.col("joined")) | (F.col("token") == F.col("bare"))).alias("whole"))
+    fixed = kept(repairs(split.select("token").distinct(), listed), "repairs")
+    meant = kept(split.join(fixed, "token").withColumn("cost", F.col("edits") + F.col("cost")), "meant")
+
+    # whole entries written together, and words cut in two
+    likely = -F.round(1 - F.col("cost") / (F.length("token") + 1), 9)
+    ranked = [likely.alias("score"), F.lit(0.0).alias("small"), F.col("cost").alias("edits")]
+    together = meant.where("whole and kind = 'entry'").select("form", *ranked, F.col("target").cast("bigint").alias("gloss_id"))
+    single = listed.entries.where(F.size("tokens") == 1).select(F.col("form").alias("target"), "gloss_id")
+    apart = meant.where("is_joined and several and kind = 'word' and edits <= 1").join(single, "target").select("form", *ranked, "gloss_id")
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each form with the words that its rarest content token may stand for, and those of the next."""
+        for batch in batches:
+            rows, words, others = [], [], []
+            for k, (form, tokens, targets, dfs) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)))):
+                of: dict[str, dict[str, int]] = defaultdict(dict)
+                for t, w, n in zip(tokens, targets, dfs):
+                    of[t][w] = n
+                every = form.split(" ")
+                content = {t for t in every if t not in SMALL} or set(every)
+                if all(t in of for t in content):
+                    by_df = sorted(content, key=lambda t: (sum(of[t].values()), t))
+                    first, second = by_df[0], by_df[min(1, len(by_df) - 1)]
+                    words += of[first]
+                    rows += [k] * len(of[first])
+                    others += [list(of[second])] * len(of[first])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(5)), pa.array(words, pa.string()), pa.array(others, pa.list_(pa.string()))], ["form", "token", "target", "cost", "df", "word", "other"])
+
+    n = float(listed.n)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for form, meaning in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                of: dict[str, list] = defaultdict(list)
-                for m in meaning or ():
-                    of[m["token"]].append((m["kind"], m["target"], m["edits"], m["cost"]))
-                out.append(ranker.value.best(form.split(), of))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["form", "gloss_id"])
-
-    return forms.join(meant, "form", "left").select("form", "meaning").mapInArrow(rank, "form string, gloss_id bigint")
-
-
-#: Most entries of a canonical list that the ranking holds in a worker's memory (about 1 KB each).
-ENTRIES = 500_000
+            rows, out = [], []
+            for k, (form, tokens, targets, costs, dfs, entry, weights) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)))):
+                every = form.split(" ")
+                of: dict[str, dict[str, float]] = {t: {} for t in every}
+                own = dict.fromkeys(every, unknown)
+                for t, w, cost, df in zip(tokens, targets, costs, dfs):
+                    if t in of:
+                        of[t][w] = min(cost, of[t].get(w, cost))
+                        if t == w:
+                            of[t][w] = 0.0
+                            own[t] = math.log1p(n / df)
+                if (found := likeness(every, of, own, entry, weights)) is not None:
+                    rows.append(k)
+                    out.append(found)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *[pa.array([o[i] for o in out], pa.float64()) for i in range(3)], batch.column(7).take(at)], ["form", "score", "small", "edits", "gloss_id"])
+
+    of_form = meant.where("kind = 'word'").groupBy("form").agg(F.collect_list(F.struct("token", "target", "cost", F.col("df").cast("bigint").alias("df"))).alias("m"))
+    meaning = ["m.token", "m.target", "m.cost", "m.df"]
+    sought = of_form.select("form", *meaning).mapInArrow(seek, "form string, token array<string>, target array<string>, cost array<double>, df array<bigint>, word string, other array<string>")
+    size = F.size(F.split("form", " "))
+    n_content = lambda c: F.size(F.filter(c, lambda t: ~F.array_contains(small, t)))
+    # neither side can have more content words than the other has words
+    met = sought.join(listed.postings, "word").where(F.arrays_overlap("other", "tokens") & (n_content(F.col("tokens")) <= size) & (n_content(F.split("form", " ")) <= F.size("tokens")))
+    by_words = met.select("form", "token", "target", "cost", "df", "tokens", "weights", "gloss_id").mapInArrow(rank, "form string, score double, small double, edits double, gloss_id bigint")
+    best = by_words.unionByName(together).unionByName(apart).groupBy("form").agg(F.min(F.struct("score", "small", "edits", "gloss_id"))["gloss_id"].alias("gloss_id"))
+    return exact.unionByName(best)
 
 
 def assign(values: DataFrame, entries: DataFrame, value: str = "value") -> DataFrame:
     """``values`` with ``gloss_id``, without the rows that aren't reported; see the module."""
     entries = entries.where("gloss_id is not null and gloss is not null").select(F.col("gloss_id").cast("bigint"), "gloss")
-    if (n := entries.count()) > ENTRIES:
-        raise ValueError(f"a canonical list of {n} entries is larger than {ENTRIES}")
 
     @F.pandas_udf("string")
     def bare(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else " ".join(bare_tokens(v)))
 
     some = values.where(F.col(value).isNotNull() & F.col(value).rlike(r"(?U)[^\s​]"))
-    distinct = some.select(F.col(value).alias("v")).distinct().join(F.broadcast(entries.select(F.col("gloss").alias("v")).distinct()), "v", "left_anti")
+    distinct = some.select(F.col(value).alias("v")).distinct().join(entries.select(F.col("gloss").alias("v")), "v", "left_anti")
     formed = kept(distinct.select("v", bare("v").alias("form")), "formed")
     best = kept(mapped(formed.where("form <> ''").select("form").distinct(), entries), "mapped")
     by_value = formed.join(best, "form", "left").select("v", F.coalesce("gloss_id", F.lit(-1)).cast("bigint").alias("gloss_id"))
