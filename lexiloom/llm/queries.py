@@ -101,7 +101,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every document in its one form."""
-    return lookalikes.normalised(table(spark, sf, "documents"))
+    return lookalikes.normalised(table(spark, sf, "documents")).select("doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_sample, p2_found, p2_records, p3_found, p3_shares, p4_found, p4_coverage, p5_found, p6_found, p6_report, p6_sample, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_text)}

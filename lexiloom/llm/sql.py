@@ -39,16 +39,29 @@ picked as (select k as targetId, c as charCount, 'systematic' as how from hit wh
 _GRAMS = "array_to_string(ws[i.i:i.i + 11], ' ')"
 
 
+# Fixed values, written apart from the operator's: letters and the Latin ones that they look like, and code points that aren't seen or are spaces.
+_LETTERS = """
+А A, В B, Е E, Ѕ S, І I, Ј J, К K, М M, Н H, О O, Р P, С C, Т T, У Y, Х X, Ѵ V, Ү Y, Ӏ I, а a, е e, ѕ s, і i, ј j, о o, р p, с c, у y, х x, һ h, ԁ d, ԛ q, ԝ w, ѵ v, ү y, ӏ l,
+Α A, Β B, Ε E, Ζ Z, Η H, Ι I, Κ K, Μ M, Ν N, Ο O, Ρ P, Τ T, Υ Y, Χ X, Ϲ C, Ϳ J, ο o, α a, ν v, ι i, ρ p, υ u, γ y, ϲ c, ϳ j,
+Ս U, Տ S, Օ O, Լ L, ս u, օ o, հ h, ո n, ց g, զ q, յ j, Ꭰ D, Ꭱ R, Ꭲ T, Ꭺ A, Ꭻ J, Ꭼ E, Ꮃ W, Ꮇ M, Ꮋ H, Ꮐ G, Ꮓ Z, Ꮥ S, Ꮩ V, Ꮮ L, Ꮯ C, Ꮲ P, Ꮶ K, Ᏼ B, Ꭹ Y, ɑ a, ɡ g
+"""
+_UNSEEN = "ad 34f 61c 180e 200b-200f 202a-202e 2060-2064 2066-206f fe00-fe0f feff"
+_BLANK = "a0 1680 2000-200a 202f 205f 3000"
+
+
 def _look() -> str:
-    """The text with every letter in its Latin twin, where it has one: equal if the forms are."""
-    from lexiloom.llm.lookalikes import folds, scripts
+    """The text with every letter in its Latin twin, where it has one: equal if two texts look the same."""
+    import unicodedata as u
 
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    one = {c: v for c, v in folds().items() if len(v) == 1}
-    gone = "".join(c for c, v in folds().items() if not v)
-    twin = scripts()[0]
-    folded = f"nfc_normalize(translate(text, {quote(''.join(one) + gone)}, {quote(''.join(one.values()))}))"
-    return f"nfc_normalize(translate({folded}, {quote(''.join(twin))}, {quote(''.join(twin.values()))}))"
+    points = lambda text: [c for part in text.split() for a, _, b in [part.partition("-")] for c in range(int(a, 16), int(b or a, 16) + 1)]
+    quote = lambda chars: "'" + "".join(chars).replace("'", "''") + "'"
+    twin = dict(pair.split() for pair in _LETTERS.replace("\n", " ").split(","))
+    accented = {chr(c): u.normalize("NFC", twin[d[0]] + d[1:]) for c in range(0x370, 0x2000) if len(d := u.normalize("NFD", chr(c))) > 1 and d[0] in twin and ord(d[0]) > 0x36F}
+    twin |= {c: x for c, x in accented.items() if len(x) == 1}
+    width = {chr(c): u.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFEF) if u.decomposition(chr(c))[:5] in ("<wide", "<narr")}
+    one = {chr(c): " " for c in points(_BLANK)} | width
+    folded = f"nfc_normalize(translate(text, {quote([*one, *map(chr, points(_UNSEEN))])}, {quote(one.values())}))"
+    return f"nfc_normalize(translate({folded}, {quote(twin)}, {quote(twin.values())}))"
 
 
 SQL: dict[str, str] = {
