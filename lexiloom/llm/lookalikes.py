@@ -176,8 +176,9 @@ def repairs(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["token", "result", "nth"])
 
     asked = kept(mixed.mapInArrow(repair, "token string, result string, nth int").distinct(), "mixed")
+    results = kept(asked.select("result").distinct(), "results")  # a table of known size, so that the join can be planned as a broadcast
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), letters, F.lit(0)))).alias("result"))
-    known = words.join(asked.select("result").distinct(), "result", "left_semi").distinct()
+    known = words.join(results, "result", "left_semi").distinct()
     return kept(asked.join(known, "result").groupBy("token").agg(F.min_by("result", "nth").alias("result")), "repairs")
 
 
