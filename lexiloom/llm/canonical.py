@@ -39,6 +39,8 @@ from lexiloom.sources.tables import kept
 SMALL = ["a", "an", "the", "some", "any", "to", "of", "or", "and", "in", "on", "for", "with", "is", "be", "it", "its", "my", "your", "this", "that", "one", "very", "maybe", "perhaps", "probably"]
 #: First letters that count at least, and the most forms under one beginning for which no more letters count.
 FIRST, UNDER_ONE = 7, 500
+#: Most rows of the filed forms that are broadcast (about 100 bytes each); beyond it they are joined by a shuffle.
+BROADCAST = 400_000
 
 _LABEL = re.compile(r"[(\[{<][^()\[\]{}<>]*[)\]}>]")
 _PLURAL = re.compile(r"\((?:s|es|ies|pl|plural)\)", re.I)
@@ -155,7 +157,8 @@ class Listed:
         def parts(x: pd.Series) -> pd.Series:
             return x.map(lambda w: sorted(variants(w, first)))
 
-        self.filed = kept(self.forms.select("form").distinct().select("form", F.explode(parts("form")).alias("part")), "filed")
+        filed = kept(self.forms.select("form").distinct().select("form", F.explode(parts("form")).alias("part")), "filed")
+        self.filed = F.broadcast(filed) if filed.count() <= BROADCAST else filed
 
     def _first(self) -> int:
         """The number of first letters that leave at most ``UNDER_ONE`` forms under one beginning, or that all forms have."""
@@ -184,9 +187,9 @@ def repairs(tokens: DataFrame, listed: Listed) -> DataFrame:
     # few bytes hold many tokens, each with some dozen variants: a fixed number of tasks, which isn't reduced by size
     tasks = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens.sparkSession.sparkContext.defaultParallelism)
     left = tokens.repartition(tasks).select("token", F.explode(parts("token")).alias("part"))
-    # without swaps the distance is twice as long at most, and the same up to one edit
-    plain = F.levenshtein("token", "form", 4)
-    met = left.join(listed.filed, "part").where(F.abs(F.length("token") - F.length("form")) <= 2).select("token", "form").distinct().withColumn("plain", plain).where("plain >= 0")
+    met = left.join(listed.filed, "part").where(F.abs(F.length("token") - F.length("form")) <= 2).groupBy("token", "form").agg(F.count(F.lit(1)).alias("times"))
+    # Without swaps the distance is twice as long at most, and the same up to one edit. It depends on ``times`` so that it isn't measured before pairs are distinct.
+    met = met.withColumn("plain", F.when(F.col("times") > 0, F.levenshtein("token", "form", 4)).otherwise(-1)).where("plain >= 0")
     size = F.least(F.length("token"), F.length("form"))
     allowed = F.when(size <= 2, 0).when(size <= 4, 1).otherwise(2)
     near = met.withColumn("edits", F.when((F.col("plain") <= 1) | (allowed == 0), F.col("plain")).otherwise(edits("token", "form")))
