@@ -5,8 +5,11 @@ codes, sorts it and emits it as a run of (code, count), so that a frequent pair
 sorted by code within hash partitions, where Spark spills sorted runs and merges them, and equal neighbours are
 added up in a stream. Nothing holds the pairs of more than one buffer, also for a record of very many items.
 
-Records without item don't count. Repeated records count once. Null targets and contents are left out, items above
-2,147,483,647 are none. An empty table gives no rows.
+Codes up to 2,147,483,647 are packed as they are. If any is larger, all items are numbered in their order first, by a dictionary table, and
+the numbers are packed in their place.
+
+Records without item don't count. Repeated records count once. Null targets and contents are left out; codes of more than 18 digits are none.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.ranking import positions
 from lexiloom.sources.tables import kept
 
 BUFFER = 2_000_000
+#: The largest number that has a half of a code.
+LARGEST = (1 << 31) - 1
 
 
 def glyph_codes(spelling: Column) -> Column:
     """The distinct codes ``B<digits>`` before the first ``;`` of each glyph, ascending."""
-    code = F.transform(F.split(spelling, "/"), lambda g: F.regexp_extract(g, r"^B([0-9]+)(?:;|$)", 1).try_cast("int"))
+    code = F.transform(F.split(spelling, "/"), lambda g: F.regexp_extract(g, r"^B0*([0-9]{1,18})(?:;|$)", 1).try_cast("bigint"))
     return F.array_sort(F.array_distinct(F.filter(code, lambda n: n.isNotNull())))
 
 
@@ -90,17 +96,33 @@ def pair_counts(items: DataFrame, column: str = "items", buffer: int = BUFFER) -
     return runs.repartition("code").sortWithinPartitions("code").mapInArrow(merge, "code bigint, n bigint")
 
 
-def pairs(rows: DataFrame, by: str = "targetId", content: str = "spelling") -> DataFrame:
+def _numbered(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records with numbers from 1 in the place of their items, in the items' order, and ``item, number``. Frequent items are rows of the larger side of the joins, which Spark splits."""
+    rows = kept(items.select("items", F.monotonically_increasing_id().alias("row")), "records")
+    each = rows.select("row", F.explode("items").alias("item"))
+    numbers = kept(positions(each.select("item").distinct(), [F.col("item")], name="number"), "numbers")
+    if numbers.count() > LARGEST:
+        raise ValueError(f"more than {LARGEST} items")
+    return each.join(numbers, "item").groupBy("row").agg(F.array_sort(F.collect_list("number")).alias("items")), numbers
+
+
+def pairs(rows: DataFrame, by: str = "targetId", content: str = "spelling", largest: int = LARGEST) -> DataFrame:
     """``glyph_a, glyph_b, c, a, b, n, odds_ratio, lift``: records with both, with each, and in all.
 
     The odds ratio has half a record added to each of its four cells, so it is finite for every pair.
     """
     items = kept(baskets(rows, by, content), "baskets")
-    n = items.count()
+    n, most = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.array_max("items")), F.lit(0))).first()
     each = items.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("k"))
-    both = pair_counts(items).select(F.shiftright("code", 32).cast("int").alias("glyph_a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("glyph_b"), F.col("n").alias("c"))
-    with_a = both.join(each.select(F.col("item").alias("glyph_a"), F.col("k").alias("a")), "glyph_a")
-    every = with_a.join(each.select(F.col("item").alias("glyph_b"), F.col("k").alias("b")), "glyph_b").withColumn("n", F.lit(n).cast("bigint"))
+    packed = items
+    if most > largest:
+        packed, numbers = _numbered(items)
+        each = each.join(numbers, "item")
+    else:
+        each = each.withColumn("number", F.col("item"))
+    both = pair_counts(packed).select(F.shiftright("code", 32).alias("no_a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no_b"), F.col("n").alias("c"))
+    with_a = both.join(each.select(F.col("number").alias("no_a"), F.col("item").alias("glyph_a"), F.col("k").alias("a")), "no_a")
+    every = with_a.join(each.select(F.col("number").alias("no_b"), F.col("item").alias("glyph_b"), F.col("k").alias("b")), "no_b").withColumn("n", F.lit(n).cast("bigint"))
     c, a, b, n_ = (F.col(x).cast("double") for x in ("c", "a", "b", "n"))
     half = 0.5
     odds = (c + half) * (n_ - a - b + c + half) / ((a - c + half) * (b - c + half))
