@@ -13,7 +13,8 @@
 The JVM, Python and the tokenizer's library know different versions of Unicode. A text with a character that they don't class alike
 (``disputed``, such as a letter newer than the JVM) is encoded whole by the library where it stands, so the words of all others are in the table.
 
-Decoding joins every id with the table id -> piece, in order of position, and reads the joined bytes as UTF-8. That table is small and fixed.
+Decoding joins every id with the table id -> piece and reads the pieces in order of position as UTF-8. That table is fixed and small, so it is
+broadcast; a row's lists are shuffled once, as arrays, before they are taken apart, and its pieces come together where they are.
 
 Null and empty texts have an empty list of ids. Rows with a null or repeated key keep their own lists: rows are told apart
 by a number given when they are cut, not by the key. Further columns of the input are ignored.
@@ -222,22 +223,23 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
     return whole.unionByName(filled).select(F.col("key").alias(key), "ids")
 
 
-def pieces(tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> list[str]:
-    """The pieces of the vocabulary in hex, by id ('' where an id has none): 50,256 entries, a bound that the tokenizer sets."""
+def pieces(spark: SparkSession, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """``id, piece`` (in hex) of the vocabulary: 50,256 rows, a bound that the tokenizer sets."""
     with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
-        by_id = {int(rank): base64.b64decode(piece).hex() for piece, rank in map(bytes.split, f)}
-    return [by_id.get(i, "") for i in range(max(by_id) + 1)]
+        rows = [(int(rank), base64.b64decode(piece).hex()) for piece, rank in map(bytes.split, f)]
+    return spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in rows], pa.int32()), "piece": [p for _, p in rows]}))
 
 
 def decode(ids: DataFrame, key: str = "doc_id", column: str = "ids", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """``<key>, text`` from lists of ids: every id is joined with its piece, and the pieces are read in order as UTF-8.
+    """``<key>, text`` from lists of ids, by a join of every id with its piece.
 
-    The table of pieces has a fixed size, so it travels with the plan as one array in which an id finds its piece by position: rows aren't
-    taken apart and nothing is shuffled. An empty list gives the empty text and a null list a null text; an id that isn't in the vocabulary is
+    An empty list gives the empty text and a null list a null text; an id that isn't in the vocabulary is
     an error of the input and makes the text null. Rows with null or repeated keys are decoded each for itself.
     """
-    table = F.split(F.lit(" ".join(p or "-" for p in pieces(tokenizers, name))), " ")  # folded to a constant once
-    found = ids.select(F.col(key).alias("key"), F.transform(column, lambda i: F.get(table, i)).alias("p"))
-    bad = F.exists("p", lambda x: x.isNull() | (x == "-"))
-    text = F.when(F.size("p") == 0, F.lit("")).when(~bad, F.decode(F.unhex(F.array_join("p", "")), "UTF-8"))
-    return found.select(F.col("key").alias(key), text.alias("text"))
+    rows = ids.select(F.col(key).alias("key"), F.col(column).alias("ids"), F.monotonically_increasing_id().alias("row"))
+    placed = kept(rows, "ids").repartition("row")  # numbers are stored, so they stay the same whatever is computed again
+    each = placed.select("row", "key", F.col("ids").isNull().alias("none"), F.posexplode_outer("ids").alias("pos", "id"))
+    met = each.join(F.broadcast(pieces(ids.sparkSession, tokenizers, name)), "id", "left")
+    one = met.groupBy("row").agg(F.first("key").alias("key"), F.first("none").alias("none"), F.bool_or(F.col("pos").isNotNull() & F.col("piece").isNull()).alias("bad"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+    text = F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")), "UTF-8")
+    return one.select(F.col("key").alias(key), F.when(~F.col("none") & ~F.col("bad"), text).alias("text"))
