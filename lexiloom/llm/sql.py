@@ -27,9 +27,8 @@ supplied as (select distinct targetId as k, charCount::bigint as c from set_300
 size_n as (select count(distinct k) // 4 as n from supplied),
 line as (select q.char_count::bigint as c, share_pm::bigint as share, n, coalesce(s.supply, 0) as supply, greatest(min_rows::bigint, (share_pm::bigint * n + 999) // 1000) as wanted
     from sample_quota q cross join size_n left join (select c, count(*) as supply from supplied group by c) s on s.c = q.char_count),
-own as (select targetId as k, first(charCount::bigint order by row_no, charCount) as c from set_300 where targetId is not null and charCount is not null group by targetId),
-sized as (select c, count(*) as size from own group by c),
-weighted as (select k, own.c, wanted, least(4294967296::hugeint, share::hugeint * n * 4294967296::hugeint // (1000::hugeint * size))::bigint as w, md5('20240|' || k) as u from own join line using (c) join sized using (c)),
+sized as (select c, count(*) as size from supplied group by c),
+weighted as (select k, own.c, wanted, least(4294967296::hugeint, share::hugeint * n * 4294967296::hugeint // (1000::hugeint * size))::bigint as w, md5('20240|' || k) as u from supplied own join line using (c) join sized using (c)),
 summed as (select *, (sum(w) over (order by c, u, k))::bigint - cast(('0x' || substr(md5('start|20240'), 1, 8)) as bigint) as upto from weighted),
 hit as (select *, floor(upto / 4294967296.0::double) > floor((upto - w) / 4294967296.0::double) as drawn from summed),
 short as (select c, max(wanted) - count(*) filter (drawn) as short from hit group by c),
@@ -82,13 +81,12 @@ n as (select count(distinct targetId) // 4 as n from t)
 select char_count from sample_quota cross join n left join (select charCount, count(*) as k from t group by 1) on charCount = char_count
 where coalesce(k, 0) < greatest(min_rows, (share_pm::bigint * n + 999) // 1000)""",
     "p6_sample": f"with {_QUOTA} select * from picked",
-    "p6_report": f"with {_QUOTA} select l.c as char_count, supply, wanted, coalesce(d.n, 0) as drawn, supply >= wanted as met from line l left join (select charCount, count(*) as n from picked group by 1) d on d.charCount = l.c",
+    "p6_report": f"with {_QUOTA} select l.c as char_count, supply, wanted, coalesce(d.n, 0) as drawn, coalesce(d.n, 0) >= wanted as met from line l left join (select charCount, count(*) as n from picked group by 1) d on d.charCount = l.c",
     "p7_found": f"with {_BASKETS} select glyph_a, glyph_b from pairs where c >= 3 and 1000 * c >= n and c * n >= 3 * a * b",
     "p7_pairs": f"""with {_BASKETS} select glyph_a, glyph_b, c, a, b, n,
     round((c + 0.5::double) * (n - a - b + c + 0.5::double) / ((a - c + 0.5::double) * (b - c + 0.5::double)), 3) as odds_ratio,
     round(c::double * n::double / (a::double * b::double), 3) as lift from pairs""",
-    # a text is the same after encoding and decoding, whatever it holds
-    "p8_roundtrip": "select doc_id, true as same from documents",
+    "p8_roundtrip": "select doc_id, md5(coalesce(text, '')) as digest from documents",
     "p9_found": f"""with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as ws from documents where text is not null),
 v as (select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as ws from eval_item where text is not null),
 a as (select doc_id, {_GRAMS} as g from w, lateral (select unnest(range(1, len(ws) - 10)) as i) i), b as (select distinct item_id, {_GRAMS} as g from v, lateral (select unnest(range(1, len(ws) - 10)) as i) i)

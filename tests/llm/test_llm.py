@@ -442,7 +442,7 @@ def quota_items(spark, n=4000):
 
 
 def test_quotas(spark):
-    items = quota_items(spark) + [(9001, "B1", 77, 0), (9002, None, 2, 0), (9003, "Bx", None, 0), (5, "B5", 2, 0)]
+    items = quota_items(spark) + [(9001, "B1", 77, 0), (9005, "B2", 22, 0), (9006, "B3", 22, 0), (9007, "B3", 9, 0), (9002, None, 2, 0), (9003, "Bx", None, 0), (5, "B5", 2, 0)]
     q = [(2, 300, 10), (3, 300, 10), (4, 100, 10), (5, 250, 5), (9, 50, 450), (22, 0, 4), (6, 0, 0), (None, 5, 5)]
     df, qdf = spark.createDataFrame(items, ITEMS), spark.createDataFrame(q, QUOTA)
     got = quotas.draw(df, qdf).collect()
@@ -450,14 +450,15 @@ def test_quotas(spark):
     n = len({k for _, k, c, _ in items if k is not None and c is not None}) // 4
     supply = Counter(c for c in {(k, c) for _, k, c, _ in items if k and c is not None} for c in [c[1]])
     wanted = {c: max(m, -(-s * n // 1000)) for c, s, m in q if c is not None}
+    assert {r.char_count: (r.supply, r.wanted) for r in quotas.lines(df, qdf).collect()} == {c: (supply[c], w) for c, w in wanted.items()}
     unmet = sorted(c for c, w in wanted.items() if supply[c] < w)
     assert rows(quotas.unmet(df, qdf)) == [(c,) for c in unmet] == [(9,), (22,)] or rows(quotas.unmet(df, qdf)) == [(c,) for c in unmet]
     drawn = Counter(r.charCount for r in got)
-    assert len({r.targetId for r in got}) == len(got)
+    assert len({(r.targetId, r.charCount) for r in got}) == len(got)
     for c, w in wanted.items():
         assert drawn[c] == min(w, supply[c]) or w <= drawn[c] <= w + 1
     rep = {r.char_count: (r.drawn, r.met) for r in quotas.report(df, qdf).collect()}
-    assert rep[22] == (0, False) and all(rep[c][0] == drawn[c] for c in rep)
+    assert rep[22] == (2, False) and all(rep[c] == (drawn[c], drawn[c] >= wanted[c]) for c in rep)
 
 
 def test_systematic_shares(spark):
@@ -480,23 +481,25 @@ def test_quotas_odd(spark):
 # 7
 
 
-def test_pairs(spark):
+@pytest.mark.parametrize("large", [False, True])
+def test_pairs(spark, large):
     rnd = random.Random(7)
-    values = [(i, f"T{rnd.randrange(90)}", "/".join(rnd.choice(["B1", "B2;B81", "B3", "B04", "B5;;B9", "VL1:0", "B7x", "B99999999999", ""]) for _ in range(rnd.randrange(1, 7)))) for i in range(400)]
+    values = [(i, f"T{rnd.randrange(90)}", "/".join(rnd.choice(["B1", "B2;B81", "B3", "B04", "B5;;B9", "VL1:0", "B7x", "B99999999999", ""][: 9 if large else 7]) for _ in range(rnd.randrange(1, 7)))) for i in range(400)]
     values += values[:30] + [(1, None, "B1/B2"), (2, "T", None), (3, "T", "")]
     both, each, n = Counter(), Counter(), 0
     import re
 
     for _, s in {(t, s) for _, t, s in values if t is not None and s is not None}:
-        items = sorted({int(m[1]) for g in s.split("/") if (m := re.match(r"^B(\d+)(;|$)", g)) and int(m[1]) < 2**31})
+        items = sorted({int(m[1]) for g in s.split("/") if (m := re.match(r"^B0*(\d{1,18})(;|$)", g))})
         n += bool(items)
         each.update(items)
         both.update(combinations(items, 2))
     df = spelled(spark, values).repartition(4)
     got = {(r.glyph_a, r.glyph_b): (r.c, r.a, r.b, r.n) for r in together.pairs(df).collect()}
     assert got == {p: (c, each[p[0]], each[p[1]], n) for p, c in both.items()}
+    assert {(r.glyph_a, r.glyph_b): r.c for r in together.pairs(df, largest=2).collect()} == both
     items = together.baskets(df)
-    for buffer in (1, 3, 50):
+    for buffer in () if large else (1, 3, 50):
         assert {r.code: r.n for r in together.pair_counts(items, buffer=buffer).collect()} == {(a << 32) | b: c for (a, b), c in both.items()}
     want = sorted(p for p, c in both.items() if c >= 3 and 1000 * c >= n and c * n >= 3 * each[p[0]] * each[p[1]])
     assert rows(together.found(df)) == want
@@ -589,7 +592,10 @@ def test_leaks(spark):
     assert want and rows(leaks.found(df, it)) == want and rows(leaks.found(df, it, block_words=100)) == want
     spans = leaks.spans(df, it)
     assert all(len(leaks.words_of(texts[r.doc_id][r.start : r.stop])) == r.words >= 12 for r in spans.collect())
-    clean = {r.doc_id: r for r in leaks.cleaned(df, spans).collect()}
+    several = leaks.spans(df, it, block_words=60)
+    assert sorted(map(str, several.collect())) == sorted(map(str, spans.collect()))
+    clean = {r.doc_id: r for r in leaks.cleaned(df, it).collect()}
+    assert clean == {r.doc_id: r for r in leaks.cleaned(df, it, block_words=60).collect()}
     assert len(clean) == len(texts) and clean[len(texts) - 3].text is None and rows(leaks.found(documents(spark, [clean[i].text for i in range(len(texts))]), it)) == []
     hit = {d for d, _ in want}
     assert all((clean[i].text == t) == (i not in hit) for i, t in enumerate(texts))
@@ -599,11 +605,18 @@ def test_leaks_odd(spark):
     item = spark.createDataFrame([(1, " ".join(f"İx{i}" for i in range(12)))], "item_id bigint, text string")
     df = documents(spark, ["🙂 " + ", ".join(f"İX{i}" for i in range(12)) + " end", "plain"])
     r = leaks.spans(df, item).collect()
-    assert [(x.doc_id, x.words) for x in r] == [(0, 12)] and leaks.cleaned(df, leaks.spans(df, item)).where("doc_id = 0").first().text == "🙂  end"
+    assert [(x.doc_id, x.words) for x in r] == [(0, 12)] and leaks.cleaned(df, item).where("doc_id = 0").first().text == "🙂  end"
     assert leaks.found(df, item.limit(0)).count() == 0 and leaks.found(df.limit(0), item).count() == 0
     long = spark.createDataFrame([(5, " ".join(f"u{i}" for i in range(25_000)))], "item_id bigint, text string")
     edge = documents(spark, [" ".join(f"u{i}" for i in range(9_994, 10_008))])
     assert rows(leaks.found(edge, long)) == [(0, 5)]
+    across = documents(spark, [" ".join(f"u{i}" for i in range(9_900, 10_100))])
+    for words in (leaks.BLOCK_WORDS, 6_000):
+        assert [(r.item_id, r.words) for r in leaks.spans(across, long, block_words=words).collect()] == [(5, 200)]
+    # rows without key, or with one key, are cleaned each for itself
+    said = " ".join(f"İx{i}" for i in range(12))
+    loose = spark.createDataFrame([(None, f"a {said} b"), (None, "c"), (1, f"{said}."), (1, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text or "", r["items"], r.removed or 0) for r in leaks.cleaned(loose, item).collect()) == [(0, "a  b", [1], len(said)), (0, "c", [], 0), (1, "", [], 0), (1, ".", [1], len(said))]
 
 
 # 10
