@@ -1,90 +1,78 @@
-"""Lists of guesses out of what a model sent: a JSON list, an object with one, or prose around one."""
+"""Lists of guesses out of what a model sent: a JSON list, an object with one, or prose around one.
 
-from __future__ import annotations
+All are column expressions: plain lists are read as arrays, other JSON as variants, and the bracketed spans of prose are found from the brackets alone.
+"""
 
-import json
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lexiloom.functions.text import WHITE
 
 _STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 _SPACE = r"[ \t\r\n]*+"
-#: A JSON list of nothing but strings, which is read in the JVM.
+#: A JSON list of nothing but strings.
 PLAIN_LIST = rf"^{_SPACE}\[{_SPACE}(?:{_STRING}{_SPACE}(?:,{_SPACE}{_STRING}{_SPACE})*+)?\]{_SPACE}$"
-_WHITE_CHARS = "\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
-
-
-def _refuse(word: str):
-    raise ValueError(word)
-
-
-def _strings(values: list) -> list[str]:
-    out = []
-    for v in values:
-        for x in v if isinstance(v, list) else [v]:
-            if isinstance(x, str) and (t := x.strip(_WHITE_CHARS)):
-                out.append(t)
-    return out
-
-
-def array_spans_of(text: str) -> list[str]:
-    """The outermost balanced ``[...]`` spans, quotes not minded."""
-    spans, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        if c == "[":
-            if not depth:
-                start = i
-            depth += 1
-        elif c == "]" and depth:
-            depth -= 1
-            if not depth:
-                spans.append(text[start : i + 1])
-    return spans
-
-
-def parsed(text: str | None) -> list[str]:
-    """The guesses of a text; whatever can't be read has none."""
-    if text is None:
-        return []
-    text = text.strip(_WHITE_CHARS)
-    try:
-        v = json.loads(text, parse_constant=_refuse)
-        if isinstance(v, list):
-            return _strings(v)
-        if isinstance(v, dict) and isinstance(v.get("candidates"), list):
-            return _strings(v["candidates"])
-    except (ValueError, RecursionError):
-        pass
-    for span in reversed(array_spans_of(text)):
-        try:
-            v = json.loads(span, parse_constant=_refuse)
-        except (ValueError, RecursionError):
-            continue
-        if isinstance(v, list) and (out := _strings(v)):
-            return out
-    return []
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _parse_rest(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [x.encode("utf-8", "replace").decode() for x in parsed(t)])
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def array_spans(texts: pd.Series) -> pd.Series:
-    """The outermost balanced ``[...]`` spans of a text; null has none."""
-    return texts.map(lambda t: [] if t is None else array_spans_of(t))
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def array_spans(c: Column) -> Column:
+    """The outermost balanced ``[...]`` spans of a text, quotes not minded; null has none.
+
+    The text is cut at its brackets, and only these are gone through: a piece belongs to a span if brackets are open before it. An opening bracket that
+    is never closed keeps what follows from being a span.
+    """
+    marks = F.regexp_extract_all(c, F.lit(r"[\[\]]"), F.lit(0))
+    sizes = F.transform(F.split(c, r"[\[\]]", -1), lambda x: F.length(x))
+    steps = F.arrays_zip(marks.alias("m"), F.slice(sizes, F.lit(2), F.size(marks)).alias("after"))
+    start = F.struct(F.lit(0).alias("open"), (F.get(sizes, F.lit(0)) + 1).alias("at"), F.lit(0).alias("since"), F.array().cast("array<struct<a:int,n:int>>").alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        opens = x["m"] == "["
+        shuts = ~opens & (s["open"] == 1)
+        found = F.when(shuts, F.array_append(s["found"], F.struct(s["since"].alias("a"), (s["at"] - s["since"] + 1).alias("n")))).otherwise(s["found"])
+        depth = F.when(opens, s["open"] + 1).otherwise(F.greatest(s["open"] - 1, F.lit(0)))
+        since = F.when(opens & (s["open"] == 0), s["at"]).otherwise(s["since"])
+        return F.struct(depth.alias("open"), (s["at"] + x["after"] + 1).alias("at"), since.alias("since"), found.alias("found"))
+
+    spans = F.transform(F.aggregate(steps, start, step, lambda s: s["found"]), lambda x: F.substring(c, x["a"], x["n"]))
+    return F.when(F.instr(c, "[") > 0, spans).otherwise(F.array().cast("array<string>"))
+
+
+def _texts(values: Column) -> Column:
+    """The strings of a list of variants and of the lists in it, trimmed, without empty ones."""
+    kind = F.schema_of_variant
+
+    def inner(x: Column) -> Column:
+        return F.transform(F.filter(F.try_variant_get(x, "$", "array<variant>"), lambda y: kind(y) == "STRING"), lambda y: F.try_variant_get(y, "$", "string"))
+
+    one = lambda x: F.when(kind(x) == "STRING", F.array(F.try_variant_get(x, "$", "string"))).when(kind(x).startswith("ARRAY"), inner(x)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(F.flatten(F.transform(values, one)), _trimmed), lambda x: x != "")
+
+
+def _listed(text: Column, objects: bool) -> Column:
+    """The texts of JSON that is a list or, if asked, an object with a list of candidates; null for anything else."""
+    v = F.try_parse_json(text)
+    kind = F.schema_of_variant(v)
+    values = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    if objects:
+        values = values.when(kind.startswith("OBJECT"), F.try_variant_get(v, "$.candidates", "array<variant>"))
+    return _texts(values)
 
 
 def candidates(c: Column) -> Column:
-    """The guesses of a text column. Plain lists are read in the JVM; only the rest crosses to Python, in Arrow batches."""
+    """The guesses of a text column: those of the whole text if it is JSON with a list, else those of its last bracketed span that has any. Whatever can't be read has none."""
+    text = _trimmed(c)
     plain = c.rlike(PLAIN_LIST)
-    quick = F.filter(F.transform(F.from_json(F.when(plain, c), "array<string>"), lambda x: F.regexp_replace(x, f"^{WHITE}+|{WHITE}+$", "")), lambda x: x != "")
-    return F.coalesce(quick, _parse_rest(F.when(plain, None).otherwise(c)), F.array().cast("array<string>"))
+    quick = F.filter(F.transform(F.from_json(F.when(plain, c), "array<string>"), _trimmed), lambda x: x != "")
+    whole = _listed(F.when(~plain & text.rlike(r"^[\[{]"), text), True)
+    spans = F.transform(array_spans(F.when(~plain, text)), lambda s: F.coalesce(_listed(s, False), F.array().cast("array<string>")))
+    last = F.get(F.filter(F.reverse(spans), lambda g: F.size(g) > 0), F.lit(0))
+    return F.coalesce(quick, whole, last, F.array().cast("array<string>"))
 
 
 def candidates_of(candidates_: Column, response: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.spelling import resolve_id, with_parsed
+from lexiloom.functions.text import clean_text
+from lexiloom.operators.answers import answer_key
 from lexiloom.sources.tables import kept
 
 FLAGS = {"isChar": "is_char", "isWord": "is_word", "isIndicator": "is_indicator", "isNonPreferred": "is_non_preferred", "isDualForm": "is_dual_form", "isPrimitive": "is_primitive"}
@@ -34,7 +36,8 @@ class Lexicon:
     """Lookup tables over entries with ``id, numeric_id, ordinal, code, gloss, pos, is_non_preferred``.
 
     ``indicators`` is a table of codes with group, name and purpose. An entry with a mark that isn't one of them is atomic: it is shown
-    and found by its own id only. The set of marks is a reference table of some dozens, checked to have at most ``MARKS``.
+    and found by its own id only. The set of marks is a reference table of some dozens, checked to have at most ``MARKS``. ``curated`` has the
+    reviewed answers (target_id, reviewed, note), which replace those by rule.
     """
 
     MARKS = 10_000
@@ -48,11 +51,16 @@ class Lexicon:
         self.curated = curated
 
     @cached_property
-    def marks(self) -> list[str]:
-        codes = [r.code for r in self.indicators.select("code").distinct().limit(self.MARKS + 1).collect()]
-        if len(codes) > self.MARKS:
+    def reference(self) -> dict[str, tuple[str, str, str]]:
+        """Name, group and purpose of each mark."""
+        rows = self.indicators.select("code", "name", "group", "purpose").dropDuplicates(["code"]).limit(self.MARKS + 1).collect()
+        if len(rows) > self.MARKS:
             raise ValueError(f"more than {self.MARKS} marks")
-        return codes
+        return {r.code: (r["name"] or "", r["group"] or "", r["purpose"] or "") for r in sorted(rows)}
+
+    @property
+    def marks(self) -> list[str]:
+        return list(self.reference)
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -108,12 +116,35 @@ class Lexicon:
         """``targetId, spelling, charCount`` of the words: nothing that tells their meaning."""
         return self.words.select(F.col("id").alias("targetId"), F.col("canonical").alias("spelling"), F.size("chars").alias("charCount"))
 
+    def marks_in(self, chars: str = "chars", word_marks: str = "word_marks") -> Column:
+        """The marks of a parsed spelling in order: spelling, scope, char_index, name, group, purpose; '' for unknown ones."""
+        known = F.create_map(*[F.lit(x) for code, about in self.reference.items() for x in (code, "\t".join(about))]) if self.reference else None
+
+        def view(m: Column, scope: str, at: Column) -> Column:
+            about = F.split(F.coalesce(F.try_element_at(known, m), F.lit("\t\t")) if known is not None else F.lit("\t\t"), "\t")
+            return F.struct(m.alias("spelling"), F.lit(scope).alias("scope"), at.cast("int").alias("char_index"), *[F.get(about, F.lit(i)).alias(c) for i, c in enumerate(("name", "group", "purpose"))])
+
+        inner = F.flatten(F.transform(chars, lambda c: F.transform(c["indicators"], lambda m: view(m, "character", c["index"]))))
+        return F.concat(inner, F.transform(word_marks, lambda m: view(m, "whole word", F.lit(None))))
+
     def marks_of(self, words: DataFrame | None = None) -> DataFrame:
         """``id, mark_no, spelling, scope, char_index, name, group, purpose`` of every mark; '' for unknown ones."""
         words = self.words if words is None else words
-        inner = F.flatten(F.transform("chars", lambda c: F.transform(c["indicators"], lambda m: F.struct(m.alias("spelling"), F.lit("character").alias("scope"), c["index"].alias("char_index")))))
-        outer = F.transform("word_marks", lambda m: F.struct(m.alias("spelling"), F.lit("whole word").alias("scope"), F.lit(None).cast("int").alias("char_index")))
-        one = words.select("id", F.posexplode(F.concat(inner, outer)).alias("mark_no", "m")).select("id", "mark_no", "m.*")
-        ref = self.indicators.select(F.col("code").alias("spelling"), "name", "group", "purpose").dropDuplicates(["spelling"])
-        return one.join(ref, "spelling", "left").select("id", "mark_no", "spelling", "scope", "char_index", *[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "group", "purpose")])
+        return words.select("id", F.posexplode(self.marks_in()).alias("mark_no", "m")).select("id", "mark_no", "m.*")
 
+    @cached_property
+    def views(self) -> DataFrame:
+        """What is shown of an entry beside a target: ``id, spelling, base_spelling, gloss, pos, indicators, answers, explanation``. Made once and kept in the shared folder.
+
+        The marks are the entry's own; an atomic entry has none, as its marks are parts of a symbol.
+        """
+        own = F.when(F.col("atomic") | F.col("canonical").isNull(), F.array().cast("array<struct<spelling:string,scope:string,char_index:int,name:string,group:string,purpose:string>>")).otherwise(self.marks_in())
+        told = clean_text(F.col("explanation")) if "explanation" in self.entries.columns else F.lit("")
+        one = self.entries.select("id", F.col("shown").alias("spelling"), F.col("shown_base").alias("base_spelling"), "gloss", "pos", own.alias("indicators"), told.alias("explanation"))
+        answers = answer_key(self.entries.select("id", "pos", "gloss"), self.curated).select(F.col("target_id").alias("id"), "answers")
+        return kept(one.join(answers, "id").select("id", "spelling", "base_spelling", "gloss", "pos", "indicators", "answers", "explanation"), "views")
+
+    def answer_keys(self) -> DataFrame:
+        """``id, spelling, pos, answers, explanation`` of the words: what a run is scored against."""
+        own = self.words.select("id", "canonical")
+        return self.views.join(own, "id").select("id", F.col("canonical").alias("spelling"), "pos", "answers", "explanation")

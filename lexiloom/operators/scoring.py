@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.candidates import candidates_of
 from lexiloom.functions.text import normalize_answer
+from lexiloom.sources.tables import kept
 
 TOP = 5
 
@@ -14,27 +15,30 @@ TOP = 5
 def last_rows(submissions: DataFrame, key: str = "targetId", order: str = "ord") -> DataFrame:
     """Of each target the last row's fields, the first row's order, and how many rows it replaces (``repeats``).
 
-    Rows without a target are left out. Only the number of the last row is shuffled by target: the rows come by a join on it, so a hot target costs no more.
+    Rows without a target are left out. Of rows with one target and one order each is kept, if several share the last. Only orders are shuffled by target before
+    they are aggregated: the rows come by a join on target and order, so a hot target costs no more.
     """
     some = submissions.where(F.col(key).isNotNull() & (F.col(key) != ""))
     ends = some.groupBy(key).agg(F.max(order).alias("_last"), F.min(order).alias("first_ord"), (F.count(F.lit(1)) - 1).alias("repeats"))
-    return some.join(ends.drop(key), some[order] == ends["_last"]).drop("_last")
+    return some.join(ends.withColumnRenamed("_last", order), [key, order])
 
 
 def scored(submissions: DataFrame, answers: DataFrame) -> DataFrame:
-    """``target_id, pos, rank, top1, top5, reciprocal_rank, n_candidates`` of submitted targets that have a key.
+    """``target_id, pos, rank, top1, top5, reciprocal_rank, n_candidates, normalized, accepted, runner, promptVersion`` of submitted targets that have a key.
 
-    ``submissions`` has targetId, candidates, rawResponseText and ord, one row for each target; ``answers`` has target_id, pos and answers.
+    ``submissions`` has targetId, candidates, rawResponseText and first_ord, one row for each target, and may have runner and promptVersion; ``answers`` has target_id, pos and
+    answers. ``normalized`` are the first guesses and ``accepted`` the answers as they are compared.
     """
-    guesses = submissions.withColumn("guesses", candidates_of(F.col("candidates"), F.col("rawResponseText"))).select(F.col("targetId").alias("target_id"), "first_ord", "guesses")
+    told = [F.col(c) if c in submissions.columns else F.lit(None).cast("string").alias(c) for c in ("runner", "promptVersion")]
+    guesses = submissions.withColumn("guesses", candidates_of(F.col("candidates"), F.col("rawResponseText"))).select(F.col("targetId").alias("target_id"), "first_ord", "guesses", *told)
     both = guesses.join(answers.select("target_id", "pos", "answers"), "target_id")
-    accepted = F.filter(F.transform("answers", lambda a: normalize_answer(a, F.col("pos"))), lambda a: a != "")
+    accepted = F.array_distinct(F.filter(F.transform("answers", lambda a: normalize_answer(a, F.col("pos"))), lambda a: a != ""))
     firsts = F.transform(F.slice("guesses", 1, TOP), lambda g: normalize_answer(g, F.col("pos")))
     place = both.withColumn("_accepted", accepted).withColumn("normalized", firsts).withColumn("_place", F.array_position(F.transform("normalized", lambda g: F.array_contains(F.col("_accepted"), g)), F.lit(True)).cast("int"))
     rank = F.when(F.col("_place") > 0, F.col("_place"))
     return place.select(
         "target_id", "first_ord", "pos", rank.alias("rank"), (F.coalesce(rank, F.lit(0)) == 1).alias("top1"), rank.isNotNull().alias("top5"),
-        F.coalesce(F.lit(1.0) / rank, F.lit(0.0)).alias("reciprocal_rank"), F.size("guesses").alias("n_candidates"), "normalized",
+        F.coalesce(F.lit(1.0) / rank, F.lit(0.0)).alias("reciprocal_rank"), F.size("guesses").alias("n_candidates"), "normalized", F.col("_accepted").alias("accepted"), "runner", "promptVersion",
     )
 
 
@@ -57,17 +61,27 @@ def extra(universe: DataFrame, submissions: DataFrame) -> DataFrame:
 
 
 def coverage(submissions: DataFrame, universe: DataFrame, answers: DataFrame, is_all: bool = True) -> DataFrame:
-    """One row: universe, scored, missing, extra, duplicates, malformed, empty and overlong lists among the scored, and whether the run is official."""
-    bad = F.col("targetId").isNull() | (F.col("targetId") == "")
-    rows = submissions.agg(F.count_if(bad).alias("malformed"), (F.count_if(~bad) - F.count_distinct(F.when(~bad, F.col("targetId")))).alias("duplicates"))
-    last = last_rows(submissions).join(universe.select(F.col("target_id").alias("targetId")).distinct(), "targetId", "left_semi")
+    """One row: universe, scored, missing, extra, duplicates, malformed, empty and overlong lists among the scored, and whether the run is official.
+
+    The submissions are written once; targets that were sent and those of the universe meet once, and what they say is one aggregate.
+    """
+    sent = kept(submissions.select("ord", "targetId", "candidates", "rawResponseText"), "sent")
+    wanted = universe.select(F.col("target_id").alias("targetId"), F.lit(1).alias("_in")).distinct()
+    per = kept(sent.groupBy("targetId").agg(F.count(F.lit(1)).alias("_n"), F.max("ord").alias("ord")), "sent_targets")
+    named = F.col("targetId").isNotNull() & (F.col("targetId") != "")
+    both = per.join(wanted, "targetId", "full_outer")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    known, came = F.col("_in").isNotNull(), F.col("_n").isNotNull()
+    rows = both.agg(
+        count(known).alias("universe_targets"), count(known & ~came).alias("missing"), count(came & ~known & named).alias("extra"),
+        total(F.when(named, F.col("_n") - 1)).alias("duplicates"), total(F.when(~named | F.col("targetId").isNull(), F.col("_n"))).alias("malformed"),
+    )
+    last = sent.join(per.where(named), ["targetId", "ord"]).join(wanted, "targetId", "left_semi").withColumn("first_ord", F.col("ord"))
     got = scored(last, answers).agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("n_candidates") == 0).alias("empty_candidates"), F.count_if(F.col("n_candidates") > TOP).alias("overlong_candidates"))
-    size = universe.agg(F.count_distinct("target_id").alias("universe_targets"))
-    none = missing(universe, submissions).agg(F.count(F.lit(1)).alias("missing"))
-    more = extra(universe, submissions).agg(F.count(F.lit(1)).alias("extra"))
-    one = size.crossJoin(got).crossJoin(none).crossJoin(more).crossJoin(rows)  # five tables of one row
     official = (F.col("missing") == 0) & (F.col("duplicates") == 0) & (F.col("malformed") == 0) & F.lit(is_all)
-    return one.withColumn("official", official)
+    one = rows.crossJoin(got)  # two tables of one row
+    return one.select("universe_targets", "scored", "empty_candidates", "overlong_candidates", "missing", "extra", "malformed", "duplicates", official.alias("official"))
 
 
 def runners(submissions: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ from lexiloom.functions import candidates as C
 from lexiloom.functions import spelling as S
 from lexiloom.functions import text as T
 from lexiloom.functions.hashing import fnv1a
-from lexiloom.operators import answers, context, matching, modifiers, sampling, scoring
-from lexiloom.operators.lexicon import Lexicon
-from lexiloom.plans.views import entries, lexicon, submissions
+from lexiloom.operators import answers, context, matching, modifiers, rules, sampling, scoring
+from lexiloom.operators.lexicon import Lexicon, normalized
+from lexiloom.operators.ranking import positions
+from lexiloom.plans.views import entries, lexicon, raw_entries, submissions
 from lexiloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,11 +57,11 @@ def contiguous_spans(spark, sf):
 
 
 def _in_pairs(spark, sf) -> DataFrame:
-    """Each word with the next one of its first character, by number."""
-    from pyspark.sql import Window
-
-    words = lexicon(spark, sf).words.select("id", "numeric_id", "base")
-    return words.withColumn("other", F.lead("base").over(Window.partitionBy(F.col("base")[0]).orderBy("numeric_id"))).where("other is not null")
+    """Each word with the next one of its first character, by number; a frequent character's words are numbered in many partitions."""
+    words = lexicon(spark, sf).words.select("id", "numeric_id", "base", F.col("base")[0].alias("first"))
+    placed = positions(words, [F.col("numeric_id")], ["first"], "place")
+    later = placed.select("first", (F.col("place") - 1).alias("place"), F.col("base").alias("other"))
+    return placed.join(later, ["first", "place"]).select("id", "base", "other")
 
 
 @query
@@ -84,7 +85,7 @@ def resolve_id(spark, sf):
 
 @query
 def normalize_entries(spark, sf):
-    return entries(spark, sf).select("id", "numeric_id", "code", "gloss", "pos", "is_char", "is_word", "is_indicator", "is_non_preferred")
+    return normalized(raw_entries(spark, sf)).select("id", "numeric_id", "code", "gloss", "pos", "explanation", "is_char", "is_word", "is_indicator", "is_non_preferred", "is_dual_form", "ordinal")
 
 
 @query
@@ -145,8 +146,7 @@ def subwords(spark, sf):
 
 @query
 def subword_counts(spark, sf):
-    found = matching.subwords(lexicon(spark, sf))
-    return found.groupBy("target_id").agg(F.count_distinct("start", "stop").alias("spans"), F.count(F.lit(1)).alias("helpers"))
+    return matching.subword_counts(lexicon(spark, sf))
 
 
 @query
@@ -166,8 +166,7 @@ def shared_end(spark, sf):
 
 @query
 def neighbours(spark, sf):
-    found = matching.neighbours(lexicon(spark, sf))
-    return found.groupBy("target_id", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("shared_len").cast("bigint").alias("shared"), F.sum("helper_no").cast("bigint").alias("checksum"))
+    return matching.counts(lexicon(spark, sf)).select("target_id", "side", "n", "shared", F.col("numbers").alias("checksum"))
 
 
 @query
@@ -201,9 +200,13 @@ def modifier_matches(spark, sf):
 
 @query
 def modifier_exceptions(spark, sf):
-    """Words in which the sequence of an exception stands before the character that cancels it."""
-    words = _with_modifiers(spark, sf)
-    return words.where(F.contains(F.concat(F.lit("/"), joined("base", "/"), F.lit("/")), F.lit("/B10/B4/"))).select("id", F.exists("found", lambda m: m["spelling"] == "B10").alias("still_counted"))
+    """Words with the sequence of an exception: those of the lexicon, and each of them once more with what cancels it at its end."""
+    lex = lexicon(spark, sf)
+    (code, following), *_ = lex.exceptions
+    some = lex.words.where(F.array_contains("base", code)).select("id", "base")
+    longer = some.select(F.concat("id", F.lit("+")).alias("id"), F.concat("base", F.array(F.lit(code), F.lit(following))).alias("base"))
+    words = modifiers.with_modifiers(some.unionByName(longer), lex.modifiers, lex.exceptions)
+    return words.select("id", F.size(F.filter("base", lambda c: c == code)).alias("times"), F.size(F.filter("found", lambda m: m["spelling"] == code)).alias("counted"))
 
 
 @query
@@ -340,7 +343,7 @@ def _scores(spark, sf) -> DataFrame:
 
 @query
 def score_rows(spark, sf):
-    return _scores(spark, sf).select("target_id", "pos", "rank", "top1", "top5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "n_candidates")
+    return _scores(spark, sf).select("target_id", "pos", "rank", "top1", "top5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "n_candidates", joined("normalized").alias("normalized"), joined("accepted").alias("accepted"), "runner", "promptVersion")
 
 
 @query
@@ -407,27 +410,33 @@ def stratified_order(spark, sf):
 
 @query
 def shuffled_order(spark, sf):
-    return sampling.shuffled_order(_items(spark, sf), ["pos", "length"])
+    return sampling.shuffled_order(_items(spark, sf), ["pos", "length"]).select("target_id", "stratum", F.round("frac", 9).alias("frac"), "tie")
 
 
 SIZES = [50, 100, 300, 1000]
 
 
+def _placed(spark, sf) -> DataFrame:
+    """The items in the order of the seeded shuffle, numbered."""
+    ranked = sampling.shuffled_order(_items(spark, sf), ["pos", "length"])
+    return positions(ranked, [F.col("frac"), F.col("tie"), F.col("target_id")], name="place")
+
+
 @query
 def nested_subsets(spark, sf):
-    return sampling.nested_subsets(sampling.stratified_order(_items(spark, sf), ["pos", "length"]), SIZES)
+    return sampling.nested_subsets(_placed(spark, sf), SIZES)
 
 
 @query
 def set_balance(spark, sf):
     items = _items(spark, sf)
-    sets = sampling.nested_subsets(sampling.stratified_order(items, ["pos", "length"]), SIZES)
+    sets = sampling.nested_subsets(_placed(spark, sf), SIZES)
     return sampling.imbalance(items, sets.join(items.select("target_id", "pos"), "target_id"), "pos")
 
 
 @query
 def set_ci(spark, sf):
-    sets = sampling.nested_subsets(sampling.stratified_order(_items(spark, sf), ["pos", "length"]), SIZES)
+    sets = sampling.nested_subsets(_placed(spark, sf), SIZES)
     return sets.groupBy("size").agg(F.count(F.lit(1)).alias("n")).select("size", "n", sampling.half_width(F.col("n")).alias("half_width"))
 
 
@@ -447,7 +456,42 @@ def context_from_spelling(spark, sf):
 
 @query
 def exact_matches(spark, sf):
-    return context.exact_matches(lexicon(spark, sf), table(spark, sf, "set_300").where("spelling is not null")).select("target_id", "id", "spelling")
+    """Known words of the spellings of the lexicon, written in another way, and of the targets that were handed in."""
+    lex = lexicon(spark, sf)
+    typed = lex.words.select(F.concat(F.lit(" "), F.regexp_replace(F.lower("code"), "b", "b00"), F.lit("/")).alias("spelling")).where("spelling not like '%;;%'")
+    asked = typed.unionByName(table(spark, sf, "set_300").where("spelling is not null").select("spelling"))
+    return context.exact_matches(lex, asked).select("target_id", "id", "spelling")
+
+
+@query
+def helper_views(spark, sf):
+    """What is shown of each entry beside a target."""
+    v = lexicon(spark, sf).views
+    return v.select("id", "spelling", "base_spelling", "gloss", "pos", joined(F.transform("indicators", lambda m: F.concat_ws("~", m["spelling"], m["name"], m["scope"]))).alias("indicators"), joined("answers").alias("answers"), "explanation")
+
+
+@query
+def answer_keys(spark, sf):
+    """The words' spellings, parts of speech, answers and explanations."""
+    return lexicon(spark, sf).answer_keys().select("id", "spelling", "pos", joined("answers").alias("answers"), "explanation")
+
+
+# rules
+
+
+def _verdicts(spark, sf) -> DataFrame:
+    """Three rules of a caller over all entries."""
+    return rules.judged(lexicon(spark, sf).entries, {"is_a_word": F.col("canonical").isNotNull(), "short": F.col("canonical").isNotNull() & (F.size("chars") <= 3), "preferred": ~F.col("is_non_preferred")})
+
+
+@query
+def rule_verdicts(spark, sf):
+    return _verdicts(spark, sf).select("id", joined("passed", ",").alias("passed"), joined("failed", ",").alias("failed"), "primary")
+
+
+@query
+def rule_exclusions(spark, sf):
+    return rules.exclusions(_verdicts(spark, sf))
 
 
 @query

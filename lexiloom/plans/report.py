@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom import __version__
+from lexiloom.functions.text import clean_text
 from lexiloom.operators import answers as A
 from lexiloom.operators import sampling, scoring
 from lexiloom.operators.lexicon import Lexicon
@@ -19,7 +21,7 @@ NAMES = 1000
 def score_report(submissions: DataFrame, answers: DataFrame, universe: DataFrame, set_name: str = "all", provenance: dict | None = None) -> tuple[DataFrame, dict]:
     """The scored rows in the order of their first submission, and the summary.
 
-    ``submissions`` has ord, targetId, candidates, rawResponseText, runner and promptVersion; ``answers`` target_id, pos and answers; ``universe`` target_id.
+    ``submissions`` has ord, targetId, candidates, rawResponseText and may have runner and promptVersion; ``answers`` target_id, pos and answers; ``universe`` target_id.
     The driver gets one row for each part of speech, one of coverage, and the runners and prompt versions; more than ``NAMES`` of either are an error.
     """
     last = scoring.last_rows(submissions).join(universe.select(F.col("target_id").alias("targetId")).distinct(), "targetId", "left_semi")
@@ -30,14 +32,14 @@ def score_report(submissions: DataFrame, answers: DataFrame, universe: DataFrame
     names = ("universe_targets", "scored", "missing", "extra", "duplicates", "malformed", "empty_candidates", "overlong_candidates")
 
     def first_seen(column: str) -> list[str]:
-        seen = submissions.join(rows.select(F.col("target_id").alias("targetId")), "targetId", "left_semi").where(F.col(column).isNotNull()).groupBy(column).agg(F.min("ord").alias("o"))
-        names = [r[0] for r in seen.orderBy("o").select(column).limit(NAMES + 1).collect()]
+        """The values of the scored rows, in the order of their targets' first rows."""
+        seen = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("first_ord").alias("o"))
+        names = [r[0] for r in seen.orderBy("o", column).select(column).limit(NAMES + 1).collect()]
         if len(names) > NAMES:
             raise ValueError(f"more than {NAMES} values of {column}")
         return names
 
-    versions = first_seen("promptVersion") if "promptVersion" in submissions.columns else []
-    summary = {"set": set_name, "official": cover["official"], **(provenance or {}), "runner": first_seen("runner"), "promptVersion": versions, **whole, "byPos": dict(sorted(parts.items())), "coverage": {n: cover[n] for n in names}}
+    summary = {"set": set_name, "official": cover["official"], **(provenance or {}), "runner": first_seen("runner"), "promptVersion": first_seen("promptVersion"), **whole, "byPos": dict(sorted(parts.items())), "coverage": {n: cover[n] for n in names}}
     return rows.orderBy("first_ord").drop("first_ord"), summary
 
 
@@ -54,21 +56,23 @@ def report_text(summary: dict) -> str:
     return "\n".join(lines)
 
 
-def freeze(lexicon: Lexicon, targets: DataFrame, source: str, folder: str, sizes: list[int], seed: str, made_at: str, reviews: DataFrame | None = None) -> dict:
+def freeze(lexicon: Lexicon, targets: DataFrame, source: str, folder: str, sizes: list[int], seed: str, made_at: str | None = None, reviews: DataFrame | None = None) -> dict:
     """Writes sealed targets, answers, the log of aliases, nested sets and the manifest into ``folder``; returns the manifest.
 
-    ``targets`` (target_id) are the entries to freeze, chosen by the caller. These are lists for evaluation, one file each.
+    ``targets`` (target_id) are the entries to freeze, chosen by the caller; ``reviews`` are those of the lexicon if not given. These are lists for evaluation, one file each.
     """
+    reviews = lexicon.curated if reviews is None else reviews
     own = lexicon.words.join(targets.select(F.col("target_id").alias("id")), "id", "left_semi")
     key = kept(A.answer_key(own, reviews), "key")
     sealed = own.select(F.col("id").alias("targetId"), F.col("canonical").alias("spelling"), F.size("chars").alias("charCount"), "numeric_id").orderBy("numeric_id").drop("numeric_id")
+    told = clean_text(F.col("explanation")) if "explanation" in own.columns else F.lit("")
     items = own.select(F.col("id").alias("target_id"), "numeric_id", "pos", sampling.length_bucket(F.size("chars")).alias("length"))
     ranked = sampling.shuffled_order(items, ["pos", "length"], seed=seed)
     from lexiloom.operators.ranking import positions
 
     placed = kept(positions(ranked, [F.col("frac"), F.col("tie"), F.col("target_id")], name="place"), "placed")
     sinks.write_frozen(sealed, f"{folder}/targets.jsonl")
-    sinks.write_frozen(own.select("id", "canonical", "numeric_id", "explanation" if "explanation" in own.columns else F.lit("").alias("explanation")).join(key.select(F.col("target_id").alias("id"), "pos", "answers"), "id").orderBy("numeric_id").select(F.col("id").alias("targetId"), F.col("canonical").alias("spelling"), "pos", "answers", "explanation"), f"{folder}/answers.jsonl")
+    sinks.write_frozen(own.select("id", "canonical", "numeric_id", told.alias("explanation")).join(key.select(F.col("target_id").alias("id"), "pos", "answers"), "id").orderBy("numeric_id").select(F.col("id").alias("targetId"), F.col("canonical").alias("spelling"), "pos", "answers", "explanation"), f"{folder}/answers.jsonl")
     sinks.write_frozen(A.alias_log(key).select(F.col("target_id").alias("targetId"), "source", F.col("base_forms").alias("base"), "answers", "added", "note"), f"{folder}/answer-aliases.jsonl")
     sets = []
     total = own.count()
@@ -78,7 +82,7 @@ def freeze(lexicon: Lexicon, targets: DataFrame, source: str, folder: str, sizes
         sinks.write_frozen(members, f"{folder}/set-{label}.jsonl")
         sets.append({"label": label, "count": min(size, total)})
     stats = A.alias_stats(key).first().asDict()
-    manifest = {"sourceFile": source, "sha256": sinks.file_sha256(source), "generatedAt": made_at, "counts": {"entries": lexicon.entries.count(), "targets": total}, "sets": sets, "setSeed": seed, "aliases": stats}
+    manifest = {"sourceFile": source, "sha256": sinks.file_sha256(source), "kitVersion": __version__, "generatedAt": made_at, "counts": {"entries": lexicon.entries.count(), "targets": total}, "sets": sets, "setSeed": seed, "aliases": stats}
     sinks.write_json(manifest, f"{folder}/manifest.json")
     return manifest
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from lexiloom.functions.text import DIALECT_PAIRS
-
+# Words that are spelled in two ways.
+_PAIRS = """
+centre center, theatre theater, metre meter, behaviour behavior, favour favor, favourite favorite, harbour harbor, labour labor, neighbour neighbor, armour armor, parlour
+parlor, organise organize, realise realize, organisation organization, sterilisation sterilization, oesophagus esophagus, anaesthesia anesthesia, caesarean cesarean,
+diarrhoea diarrhea, orthopaedic orthopedic, faeces feces, defence defense, licence license, counselling counseling, traveller traveler, jewellery jewelry, programme
+program, aluminium aluminum, plough plow, sceptical skeptical, storey story, grey gray, moustache mustache
+"""
 _W = r"[\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _MARK = "(!?B[0-9]+|!)"
 _CHAR = f";?B[0-9]+(;{_MARK})*;?"
@@ -19,10 +24,11 @@ lex as (select concat('B', cast(100000 + w0.l_orderkey as varchar)) as id, 10000
     when 2 then concat(p_name, ' (', lower(p_type), ')') when 3 then concat(split_part(p_name,' ',2), '(s)')
     when 4 then concat(p_name, ' - (', lower(p_type), ')') else concat('grey ', split_part(p_name,' ',2), '; centre ', p_brand) end) as gloss,
   case o_orderstatus when 'F' then 'action' when 'P' then 'description' else 'noun' end as pos,
-  w0.l_orderkey % 37 = 0 as is_char, w0.l_orderkey % 23 <> 0 as is_word, w0.l_orderkey % 101 = 0 as is_indicator, w0.l_orderkey % 29 = 0 as is_non_preferred
+  w0.l_orderkey % 37 = 0 as is_char, w0.l_orderkey % 23 <> 0 as is_word, w0.l_orderkey % 101 = 0 as is_indicator, w0.l_orderkey % 29 = 0 as is_non_preferred,
+  concat(p_name, '_ from  ', p_brand) as explanation
   from w0 join orders on o_orderkey = w0.l_orderkey join part on p_partkey = w0.first_part
   union all
-  select concat('B', cast(p_partkey as varchar)), p_partkey, concat('VL', cast(p_size as varchar), ':0,8'), p_name, 'noun', true, false, false, false from part where p_partkey < 500)
+  select concat('B', cast(p_partkey as varchar)), p_partkey, concat('VL', cast(p_size as varchar), ':0,8'), p_name, 'noun', true, false, false, false, null from part where p_partkey < 500)
 """
 
 
@@ -47,7 +53,7 @@ shown as (select *, case when atomic or canonical is null then id else canonical
 word as (select * from shown where canonical is not null),
 keys as (select unnest(list_distinct([id, shown_base])) as key, id as helper_id, numeric_id as helper_no, gloss as helper_gloss from shown where not is_non_preferred),
 spelling_keys as (select unnest(list_distinct(list_filter([id, canonical], lambda x: x is not null))) as key, id from shown where not is_non_preferred),
-targets as (select id as target_id, base, base_key from word)
+targets as (select id as target_id, base, base_key, chars as own_chars from word)
 """
 _SET = _parsed("given", "(select * from set_300 where spelling is not null)", "spelling")
 _ASKED = f"{_ENTRY}, {_SET}, asked as (select code as asked, canonical, base_key from word union select spelling, canonical, base_key from given where canonical is not null)"
@@ -129,7 +135,7 @@ part_of as (select id, pos, k, part from part_some union all select p.id, any_va
 _BASE = f"""{_GLOSS}, {_parts("glosses")},
 base_form as (select id, pos, form, min(k) as k from (select id, pos, k, {_collapse("replace(part, '_', ' ')")} as form from part_of) where form <> '' group by id, pos, form)
 """
-_DIALECT = " ".join(x for pair in DIALECT_PAIRS for x in pair)
+_DIALECT = " ".join(_PAIRS.replace(",", " ").split())
 _SWAP = f"(select map_from_entries(list_transform(range(1, 67), lambda i: struct_pack(k := string_split('{_DIALECT}', ' ')[i], v := string_split('{_DIALECT}', ' ')[case when i % 2 = 1 then i + 1 else i - 1 end]))) as m)"
 
 
@@ -179,39 +185,69 @@ _EVENTS = f"""{_ANSWERS}, {_parsed("parsed", "lex", "code")},
 sized as (select (select count(*) from orders) as n_orders, (select count(*) from part) as n_part),
 ev as (select e.*, 100000 + (event_id * 7919) % n_orders as no, n_part from events e, sized),
 ev2 as (select ev.*, p.p_name as b, coalesce(l.gloss, p.p_name) as a, 'B' || cast(no as varchar) as tid from ev join part p on p.p_partkey = event_id % n_part left join lex l on l.numeric_id = no),
-sub1 as (select event_id as ord, case when event_type = 'error' then null else tid end as targetId, 'u' || cast(user_id % 5 as varchar) as runner,
+sub1 as (select event_id as ord, case when event_type = 'error' then null else tid end as targetId, 'u' || cast(user_id % 5 as varchar) as runner, 'v' || cast(event_id % 3 as varchar) as "promptVersion",
   case event_id % 5 when 0 then concat('["', a, '","', b, '"]') when 1 then concat('Guess: ["', a, '"] Note: [x: y]') when 2 then concat('{{"candidates":["', b, '"]}}') when 3 then '[]' else concat('["', b, '",1,["', a, '"]]') end as candidates from ev2),
-sub as (select * from sub1 union all select ord + 1000000000, targetId, runner, '["unknown"]' from sub1 where ord % 10 = 0),
+sub as (select * from sub1 union all select ord + 1000000000, targetId, runner, "promptVersion", '["unknown"]' from sub1 where ord % 10 = 0),
 universe as (select id as target_id from parsed where canonical is not null and not is_non_preferred),
-last as (select targetId, arg_max(candidates, ord) as text from sub where targetId is not null and targetId <> '' group by targetId)
+last as (select targetId, arg_max(candidates, ord) as text, arg_max(runner, ord) as runner, arg_max("promptVersion", ord) as "promptVersion" from sub where targetId is not null and targetId <> '' group by targetId)
 """
 _SCORED = f"""{_EVENTS}, {_guesses("last", "targetId")},
-pair as (select l.targetId as target_id, pos, coalesce(guesses, []) as guesses, answers from last l left join guess_list g using (targetId) join key on key.target_id = l.targetId),
+pair as (select l.targetId as target_id, pos, coalesce(guesses, []) as guesses, answers, runner, "promptVersion" from last l left join guess_list g using (targetId) join key on key.target_id = l.targetId),
 pair2 as (select *, list_filter(list_transform(answers, lambda x: {_normal("x", "pos")}), lambda x: x <> '') as good, list_transform(guesses[1:5], lambda x: {_normal("x", "pos")}) as g5 from pair),
 pair3 as (select *, list_position(list_transform(g5, lambda x: list_contains(good, x)), true) as place from pair2),
-score as (select target_id, pos, case when place > 0 then place::integer end as rank, coalesce(place, 0) = 1 as top1, coalesce(place, 0) > 0 as top5, case when place > 0 then 1.0::double / place else 0.0::double end as reciprocal_rank, len(guesses)::integer as n_candidates from pair3)
+score as (select target_id, pos, case when place > 0 then place::integer end as rank, coalesce(place, 0) = 1 as top1, coalesce(place, 0) > 0 as top5, case when place > 0 then 1.0::double / place else 0.0::double end as reciprocal_rank, len(guesses)::integer as n_candidates, array_to_string(g5, '|') as normalized, array_to_string(list_filter(good, lambda x, i: list_position(good, x) = i), '|') as accepted, runner, "promptVersion" from pair3)
 """
 _MEANS = "count(*) as total, round(coalesce(avg(top1::integer::double), 0), 6) as top1, round(coalesce(avg(top5::integer::double), 0), 6) as top5, round(coalesce(avg(reciprocal_rank), 0), 6) as mrr"
 _ITEMS = f"{_ENTRY}, items as (select id as target_id, numeric_id, pos, case when len(base) >= 5 then '5+' else cast(len(base) as varchar) end as length from word where not is_non_preferred)"
-_FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split('order-1|tie|' || target_id, ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+
+
+def _fnv(x: str) -> str:
+    return f"list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({x}, ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+
+
+_FNV = _fnv("'order-1|tie|' || target_id")
 _ORDER = f"""{_ITEMS},
 strat as (select *, pos || '|' || length as stratum from items),
 inside as (select *, (row_number() over (partition by stratum order by md5('order-1|' || target_id), target_id) - 0.5::double) / count(*) over (partition by stratum) as frac, {_FNV} as tie from strat),
+ordered as (select *, row_number() over (order by frac, tie, target_id) as place from inside)
+"""
+# a stratum's shuffle as a list of places, one swap for each step from its end; the generator's state only grows by a constant, so its numbers are known beforehand
+_SHUFFLE = f"""{_ITEMS},
+strat as (select *, pos || '|' || length as stratum, (row_number() over (partition by pos || '|' || length order by numeric_id))::integer as at from items),
+stratum_size as (select stratum, count(*)::integer as n, {_fnv("'order-1|' || stratum")} as seed from strat group by stratum),
+drawn0 as (select stratum, n, i.i::integer as i, (seed + (n - i.i) * 1831565813::bigint) % 4294967296 as a from stratum_size, lateral (select unnest(range(1, n)) as i) i),
+drawn1 as (select *, ((xor(a, a >> 15))::hugeint * (a | 1)::hugeint % 4294967296)::bigint as t from drawn0),
+drawn2 as (select *, xor((t + ((xor(t, t >> 7))::hugeint * (t | 61)::hugeint % 4294967296)::bigint) % 4294967296, t) as u from drawn1),
+drawn as (select stratum, i, floor(xor(u, u >> 14) / 4294967296.0::double * (i + 1))::integer as j from drawn2),
+shuffling(stratum, i, places) as (
+  select stratum, n - 1, range(1, n + 1)::integer[] from stratum_size union all
+  select s.stratum, s.i - 1, list_transform(s.places, lambda x, k: case when k = s.i + 1 then s.places[d.j + 1] when k = d.j + 1 then s.places[s.i + 1] else x end) from shuffling s join drawn d on d.stratum = s.stratum and d.i = s.i),
+seat as (select stratum, places, i.i as seat from shuffling s, lateral (select unnest(range(1, len(places) + 1)) as i) i where s.i = 0),
+inside as (select t.*, (seat - 0.5::double) / n as frac, {_FNV} as tie from seat join stratum_size using (stratum) join strat t on t.stratum = seat.stratum and t.at = places[seat]),
 ordered as (select *, row_number() over (order by frac, tie, target_id) as place from inside),
 subset as (select size, target_id, pos, place from ordered, (select unnest([50, 100, 300, 1000])::integer as size) s where place <= size)
 """
-_CONTEXT_PARTS = f"""{_SUB}, {_SIB}, {_NEAR}, {_LEGEND}, {_SCAN},
-mods as (select id as target_id, string_agg(spelling, '|' order by spot) as modifiers from scan group by id),
-subs as (select target_id, string_agg(key || ':' || helper_id || '=' || helper_gloss, '|' order by span_start, span_stop, helper_no) as subwords from sub group by target_id),
-sibs as (select target_id, string_agg(helper_id || '=' || helper_gloss, '|' order by helper_no) as siblings from sib group by target_id),
-nears as (select target_id, string_agg(helper_id || '=' || helper_gloss, '|' order by rank) filter (side = 'start' and rank <= 8) as shared_start, string_agg(helper_id || '=' || helper_gloss, '|' order by rank) filter (side = 'end' and rank <= 8) as shared_end,
-  greatest(count(*) filter (side = 'start') - 8, 0) as omitted_start, greatest(count(*) filter (side = 'end') - 8, 0) as omitted_end from near group by target_id),
+_MARK_NAME = "case m when 'B81' then 'doing' when 'B86' then 'being' when 'B97' then 'thing' else '' end"
+_EXPLAINED = _collapse("replace(coalesce(explanation, ''), '_', ' ')")
+_VIEWS = f"""{_ANSWERS.split(_LEX, 1)[1].lstrip(", ")},
+vw as (select s.id, concat_ws('~', s.id, shown, shown_base, gloss, s.pos, case when atomic or canonical is null then '' else array_to_string(list_transform(list_concat(flatten(marks), word_marks), lambda m: {_MARK_NAME}), ',') end, array_to_string(answers, '/'), {_EXPLAINED}) as txt from shown s join key on key.target_id = s.id)
+"""
+_CONTEXT_PARTS = f"""{_VIEWS}, {_SUB}, {_SIB}, {_NEAR}, {_LEGEND}, {_SCAN},
+about(spelling, info) as (values ('B9', 'B9~many~many~number'), ('B10', 'B10~two~two~number'), ('B11', 'B11~three~three~number'), ('B10/B117', 'B10,B117~double~twice~number'), ('B449', 'B449~without~not,without~negation'),
+  ('B449/B401', 'B449,B401~never~never~negation'), ('B368', 'B368~much~very~intensity'), ('B368/B368', 'B368,B368~most~most~intensity')),
+mods as (select id as target_id, string_agg(spelling || '~' || info || '~' || spot || '~' || stop, '|' order by spot) as modifiers from scan join about using (spelling) group by id),
+subs as (select target_id, string_agg(array_to_string(own_chars[span_start + 1:span_stop], '/') || ':' || key || ':' || txt, '|' order by span_start, span_stop, helper_no) as subwords from sub join targets using (target_id) join vw on vw.id = helper_id group by target_id),
+sibs as (select target_id, string_agg(txt, '|' order by helper_no) as siblings from sib join vw on vw.id = helper_id group by target_id),
+near_text as (select *, array_to_string(case side when 'start' then c[1:shared_len] else c[len(c) - shared_len + 1:] end, '/') || ':' || txt as line from near join vw on vw.id = helper_id where rank <= 8),
+nears as (select target_id, greatest(count(*) filter (side = 'start') - 8, 0) as omitted_start, greatest(count(*) filter (side = 'end') - 8, 0) as omitted_end from near group by target_id),
+near_lines as (select target_id, string_agg(line, '|' order by rank) filter (side = 'start') as shared_start, string_agg(line, '|' order by rank) filter (side = 'end') as shared_end from near_text group by target_id),
 legs as (select target_id, string_agg(spelling || ':' || helper_id || '=' || helper_gloss, '|' order by length desc, list_transform(string_split(base_spelling, '/'), lambda x: substr(x, 2)::bigint), helper_no) as legend from legend group by target_id)
 """
 _CONTEXT = """select t.target_id, t.canonical as spelling, t.base_key as base_spelling, len(t.base)::integer as char_count, coalesce(modifiers, '') as modifiers,
   array_to_string(list_transform(list_concat(flatten(t.marks), t.word_marks), lambda m: m || '=' || case m when 'B81' then 'doing' when 'B86' then 'being' when 'B97' then 'thing' else '' end), '|') as indicators,
-  coalesce(subwords, '') as subwords, coalesce(siblings, '') as siblings, coalesce(shared_start, '') as shared_start, coalesce(shared_end, '') as shared_end, coalesce(omitted_start, 0) as omitted_start, coalesce(omitted_end, 0) as omitted_end, coalesce(legend, '') as legend
-from {from_} t left join mods using (target_id) left join subs using (target_id) left join sibs using (target_id) left join nears using (target_id) left join legs using (target_id)"""
+  coalesce(subwords, '') as subwords, coalesce(siblings, '') as siblings, coalesce(shared_start, '') as shared_start, coalesce(shared_end, '') as shared_end, coalesce(omitted_start, 0) as omitted_start, coalesce(omitted_end, 0) as omitted_end, coalesce(legend, '') as legend,
+  {exact} as exact_match
+from {from_} t left join mods using (target_id) left join subs using (target_id) left join sibs using (target_id) left join nears using (target_id) left join near_lines using (target_id) left join legs using (target_id)"""
 
 _LAST_SUB = "select targetId, max(ord) as ord, min(ord) as first_ord, count(*) - 1 as repeats from submission where targetId is not null and targetId <> '' group by targetId"
 _BASELINE = f"""{_ENTRY}, {_SUB}, {_SIB}, {_ANSWERS.split(_LEX, 1)[1].lstrip(", ")},
@@ -240,7 +276,7 @@ SQL: dict[str, str] = {
         _ENTRY, ", p as (select id, base, lead(base) over (partition by base[1] order by numeric_id) as other from word) select id, len(list_filter(range(1, least(len(base), len(other)) + 1), lambda i: base[len(base) - i + 1:] = other[len(other) - i + 1:]))::integer as n from p where other is not null"
     ),
     "resolve_id": rf"with t as (select distinct targetId as asked, regexp_replace(targetId, '^{_W}+|{_W}+$', '', 'g') as t from submission where targetId is not null) select asked, case when regexp_full_match(t, '[Bb]?[0-9]+') then 'B' || regexp_extract(t, '^[Bb]?0*([0-9]+)$', 1) else t end as id from t",
-    "normalize_entries": _with(_LEX, "select id, numeric_id, code, gloss, pos, is_char, is_word, is_indicator, is_non_preferred from lex"),
+    "normalize_entries": _with(_LEX, "select id, numeric_id, code, case when numeric_id % 13 <> 0 then gloss else '' end as gloss, case when pos <> 'noun' then pos else '' end as pos, coalesce(explanation, '') as explanation, is_char, is_word, is_indicator, is_non_preferred, false as is_dual_form, numeric_id as ordinal from lex"),
     "display_spelling": _with(_ENTRY, "select id, atomic, shown as spelling, shown_base as base_spelling from shown"),
     "get_entry": _with(_ENTRY, "select 'b' || lpad(cast(numeric_id as varchar), 8, '0') as asked, id, shown as spelling, gloss, pos from shown where not is_indicator"),
     "find_by_spelling": _with(_ASKED, "select asked, id from asked join spelling_keys on key = canonical"),
@@ -261,7 +297,14 @@ SQL: dict[str, str] = {
     "neighbours_omitted": _with(f"{_ENTRY}, {_NEAR}", "select target_id, side, greatest(count(*) - 8, 0) as omitted from near group by target_id, side"),
     "legend": _with(f"{_ENTRY}, {_NEAR}, {_LEGEND}", "select target_id, spelling, base_spelling, length, helper_id from legend"),
     "modifier_matches": _with(f"{_ENTRY}, {_SCAN}", "select id, spot::integer as span_start, stop::integer as span_stop, spelling from scan", True),
-    "modifier_exceptions": _with(f"{_ENTRY}, {_SCAN}", "select target_id as id, exists (select 1 from scan s where s.id = target_id and s.spelling = 'B10') as still_counted from targets where contains('/' || base_key || '/', '/B10/B4/')", True),
+    "modifier_exceptions": _with(
+        f"{_ENTRY}, {_SCAN}".replace(
+            "select id as target_id, base, base_key, chars as own_chars from word",
+            "select id as target_id, base, base_key, chars as own_chars from word where list_contains(base, 'B10') union all select id || '+', list_concat(base, ['B10', 'B4']), base_key || '/B10/B4', chars from word where list_contains(base, 'B10')",
+        ),
+        "select target_id as id, len(list_filter(base, lambda c: c = 'B10'))::integer as times, (select count(*) from scan s where s.id = target_id and s.spelling = 'B10')::integer as counted from targets",
+        True,
+    ),
     "leading_modifier_run": _with(f"{_ENTRY}, {_SCAN}", "select id, string_agg(spelling, ',' order by spot) as run, max(stop)::integer as rest, max(stop) = any_value(size) as consumed_all from scan where run group by id", True),
     "full_modifier": _with(f"{_ENTRY}, {_SCAN}", 'select target_id as id, spelling as "full" from targets join ref on spelling = base_key', True),
     "modifier_glosses": _with(
@@ -295,7 +338,7 @@ SQL: dict[str, str] = {
     ),
     "normalize_answers": _with(_GLOSS, f"select id, {_normal('gloss', 'pos')} as normal from glosses"),
     "dedup_last_wins": _LAST_SUB,
-    "score_rows": _with(_SCORED, "select target_id, pos, rank, top1, top5, round(reciprocal_rank, 6) as reciprocal_rank, n_candidates from score"),
+    "score_rows": _with(_SCORED, "select target_id, pos, rank, top1, top5, round(reciprocal_rank, 6) as reciprocal_rank, n_candidates, normalized, accepted, runner, \"promptVersion\" from score"),
     "score_summary": _with(_SCORED, f"select {_MEANS} from score"),
     "score_by_pos": _with(_SCORED, f"select pos, {_MEANS} from score group by pos"),
     "coverage_missing": _with(_EVENTS, "select target_id from universe where target_id not in (select targetId from sub where targetId is not null)"),
@@ -309,17 +352,37 @@ SQL: dict[str, str] = {
     "tie_hash": _with(_ITEMS, f"select target_id, {_FNV} as tie from items"),
     "char_bucket": 'select row_no, case when "charCount" >= 5 then \'5+\' else cast("charCount" as varchar) end as bucket from set_300',
     "stratified_order": _with(_ORDER, "select target_id, stratum, round(frac, 9) as frac, place from ordered"),
-    "nested_subsets": _with(_ORDER, "select size, target_id, place from subset"),
+    "shuffled_order": _with(_SHUFFLE, "select target_id, stratum, round(frac, 9) as frac, tie from inside", True),
+    "nested_subsets": _with(_SHUFFLE, "select size, target_id, place from subset", True),
     "set_balance": _with(
-        _ORDER,
+        _SHUFFLE,
         ", full_share as (select pos, count(*) / (select count(*) from items)::double as p from items group by pos), sizes as (select size, count(*) as n from subset group by size), grid as (select s.size, s.n, f.pos, f.p from sizes s cross join full_share f), got as (select size, pos, count(*) as k from subset group by size, pos) select size, round(max(abs(coalesce(k, 0) / n::double - p)), 6) as worst from grid left join got using (size, pos) group by size",
+        True,
     ),
-    "set_ci": _with(_ORDER, "select size, count(*) as n, round(98.0::double / sqrt(count(*)), 1) as half_width from subset group by size"),
-    "build_context": _with(f"{_ENTRY}, {_CONTEXT_PARTS}", _CONTEXT.format(from_="(select id as target_id, * from word)"), True),
+    "set_ci": _with(_SHUFFLE, "select size, count(*) as n, round(98.0::double / sqrt(count(*)), 1) as half_width from subset group by size", True),
+    "build_context": _with(f"{_ENTRY}, {_CONTEXT_PARTS}", _CONTEXT.format(from_="(select id as target_id, * from word)", exact="''"), True),
     "context_from_spelling": _with(
-        f"{_ENTRY.replace('targets as (select id as target_id, base, base_key from word)', '')} {_SET}, asked as (select distinct '?' || canonical as target_id, canonical, base, base_key, marks, word_marks from given where canonical is not null), targets as (select target_id, base, base_key from asked), {_CONTEXT_PARTS}", _CONTEXT.format(from_="asked"), True
+        f"{_ENTRY.replace('targets as (select id as target_id, base, base_key, chars as own_chars from word)', '')} {_SET}, asked as (select distinct '?' || canonical as target_id, canonical, base, base_key, marks, word_marks, chars as own_chars from given where canonical is not null), targets as (select target_id, base, base_key, own_chars from asked), {_CONTEXT_PARTS}, exact as (select target_id, string_agg(txt, '|' order by substr(k.id, 2)::bigint) as exact_match from asked join spelling_keys k on k.key = canonical join vw on vw.id = k.id group by target_id)",
+        _CONTEXT.format(from_="asked", exact="coalesce(exact_match, '')") + " left join exact using (target_id)",
+        True,
+    ),
+    "exact_matches": _with(
+        f"{_ENTRY}, {_SET}",
+        ", both_ways as (select canonical from given where canonical is not null union select canonical from word where not contains(code, ';;')) select '?' || g.canonical as target_id, s.id, s.shown as spelling from both_ways g join spelling_keys k on k.key = g.canonical join shown s on s.id = k.id",
+    ),
+    "helper_views": _with(
+        f"{_ENTRY}, {_VIEWS}",
+        f"select s.id, shown as spelling, shown_base as base_spelling, gloss, s.pos, case when atomic or canonical is null then '' else array_to_string(list_concat(list_transform(flatten(marks), lambda m: m || '~' || {_MARK_NAME} || '~character'), list_transform(word_marks, lambda m: m || '~' || {_MARK_NAME} || '~whole word')), '|') end as indicators, array_to_string(answers, '|') as answers, {_EXPLAINED} as explanation from shown s join key on key.target_id = s.id",
+    ),
+    "answer_keys": _with(f"{_ENTRY}, {_VIEWS}", f"select w.id, canonical as spelling, w.pos, array_to_string(answers, '|') as answers, {_EXPLAINED} as explanation from word w join key on key.target_id = w.id"),
+    "rule_verdicts": _with(
+        _ENTRY,
+        ", v as (select id, canonical is not null as a, coalesce(len(base) <= 3, false) as b, not is_non_preferred as c from shown), w as (select id, [a, b, c] as ok, ['is_a_word', 'short', 'preferred'] as n from v), x as (select id, list_filter(n, lambda y, i: ok[i]) as passed, list_filter(n, lambda y, i: not ok[i]) as failed from w) select id, array_to_string(passed, ',') as passed, array_to_string(failed, ',') as failed, failed[1] as \"primary\" from x",
+    ),
+    "rule_exclusions": _with(
+        _ENTRY,
+        ", f as (select case when canonical is null then 1 when len(base) > 3 then 2 when is_non_preferred then 3 end as first, canonical is null as a, canonical is null or len(base) > 3 as b, is_non_preferred as c from shown), r as (select 'is_a_word' as rule, 1 as k union all select 'short', 2 union all select 'preferred', 3) select rule, count(*) filter (first = k) as first_failures, count(*) as failures from f join r on case k when 1 then a when 2 then b else c end group by rule",
     ),
-    "exact_matches": _with(f"{_ENTRY}, {_SET}", "select distinct '?' || g.canonical as target_id, s.id, s.shown as spelling from given g join spelling_keys k on k.key = g.canonical join shown s on s.id = k.id where g.canonical is not null"),
     "baseline_candidates": _with(_BASELINE, "select target_id, array_to_string(guesses, '|') as guesses from base_guess"),
     "baseline_scores": _with(
         _BASELINE,

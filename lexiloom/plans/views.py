@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.operators.answers import latest_reviews
 from lexiloom.operators.lexicon import Lexicon
 from lexiloom.plans import references
 from lexiloom.sources.tables import table
@@ -31,17 +32,33 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("B"), (key + 100000).cast("string")).alias("id"), (key + 100000).alias("numeric_id"), F.concat(F.array_join(F.transform("a", lambda x: x["g"]), "/"), ending).alias("code"),
         F.concat(F.when(status == "F", "to ").otherwise(""), gloss).alias("gloss"), F.when(status == "F", "action").when(status == "P", "description").otherwise("noun").alias("pos"),
         (key % 37 == 0).alias("is_char"), (key % 23 != 0).alias("is_word"), (key % 101 == 0).alias("is_indicator"), (key % 29 == 0).alias("is_non_preferred"),
+        F.concat(name, F.lit("_ from  "), "p_brand").alias("explanation"),
     )
     number_of = F.col("p_partkey")
     shape = part.where(number_of < 500).select(
         F.concat(F.lit("B"), number_of.cast("string")).alias("id"), number_of.alias("numeric_id"), F.concat(F.lit("VL"), F.col("p_size").cast("string"), F.lit(":0,8")).alias("code"),
-        F.col("p_name").alias("gloss"), F.lit("noun").alias("pos"), F.lit(True).alias("is_char"), F.lit(False).alias("is_word"), F.lit(False).alias("is_indicator"), F.lit(False).alias("is_non_preferred"),
+        F.col("p_name").alias("gloss"), F.lit("noun").alias("pos"), F.lit(True).alias("is_char"), F.lit(False).alias("is_word"), F.lit(False).alias("is_indicator"), F.lit(False).alias("is_non_preferred"), F.lit(None).cast("string").alias("explanation"),
     )
     return word.unionByName(shape).withColumn("ordinal", F.col("numeric_id"))
 
 
+def raw_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a snapshot has them: numbers as ids, flags that are only there where they hold, and some entries without gloss."""
+    e = entries(spark, sf)
+    flag = lambda c, name: F.when(F.col(c), True).alias(name)
+    return e.select(F.col("numeric_id").alias("id"), F.when(F.col("numeric_id") % 13 != 0, F.col("gloss")).alias("gloss"), "code", F.when(F.col("pos") != "noun", F.col("pos")).alias("pos"), "explanation", flag("is_char", "isChar"), flag("is_word", "isWord"), flag("is_indicator", "isIndicator"), flag("is_non_preferred", "isNonPreferred"))
+
+
+_LEXICONS: dict[tuple, Lexicon] = {}
+
+
 def lexicon(spark: SparkSession, sf: str) -> Lexicon:
-    return Lexicon(entries(spark, sf), references.indicators(spark), references.MODIFIERS, references.EXCEPTIONS)
+    """The lexicon of a folder, parsed once in a session."""
+    key = (spark.sparkContext.applicationId, sf, GLYPHS)
+    if key not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[key] = Lexicon(entries(spark, sf), references.indicators(spark), references.MODIFIERS, references.EXCEPTIONS, latest_reviews(table(spark, sf, "answer_alias_curation")))
+    return _LEXICONS[key]
 
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +73,7 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
     sent = F.when(k == 0, q('["', "a", '","', "b", '"]')).when(k == 1, q('Guess: ["', "a", '"] Note: [x: y]')).when(k == 2, q('{"candidates":["', "b", '"]}')).when(k == 3, F.lit("[]")).otherwise(q('["', "b", '",1,["', "a", '"]]'))
     one = e.select(
         F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", None).otherwise(F.concat(F.lit("B"), F.col("no").cast("string"))).alias("targetId"),
-        F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("runner"), sent.alias("candidates"), F.lit(None).cast("string").alias("rawResponseText"),
+        F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("runner"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("promptVersion"), sent.alias("candidates"), F.lit(None).cast("string").alias("rawResponseText"),
     )
-    again = one.where(F.col("ord") % 10 == 0).select((F.col("ord") + 1_000_000_000).alias("ord"), "targetId", "runner", F.lit('["unknown"]').alias("candidates"), "rawResponseText")
+    again = one.where(F.col("ord") % 10 == 0).select((F.col("ord") + 1_000_000_000).alias("ord"), "targetId", "runner", "promptVersion", F.lit('["unknown"]').alias("candidates"), "rawResponseText")
     return one.unionByName(again)

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.operators.lexicon import Lexicon, normalized
@@ -40,27 +40,30 @@ def _struct(ddl: str) -> str:
     return ", ".join(re.sub(r"^(\w+) ", r"\1:", part.strip()) for part in re.split(r",\s*(?![^<]*>)", ddl))
 
 
-def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file or directory of JSON lines, with ``ord``, the order of the lines. Blank lines are left out; a line that is no JSON object is an error that names it.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its file, and its place: splits of a file and lines of a split come in order."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
 
-    ``ord`` is by file, then by place in the file: splits of a file and lines of a split come in order.
-    """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m")
-    )
+
+def _parsed(lines: DataFrame, schema: str, where: Column) -> DataFrame:
+    """``_row`` of each line that isn't blank; a line that is no JSON object is an error that names ``where``."""
     text = F.regexp_replace("value", "\r$", "")
-    parsed = lines.where(F.trim(text) != "").withColumn("_row", F.from_json(text, schema)).withColumn("_v", F.try_parse_json(text))
-    message = F.concat(F.lit("not a JSON object in "), "_f", F.lit(": "), F.substring("value", 1, 200))
-    ok = parsed.withColumn("_row", F.when(F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("OBJECT"), F.col("_row")).otherwise(F.raise_error(message)))
-    return ok.select(F.struct("_f", "_b", "_m").alias("ord"), "_row.*")
+    some = lines.where(F.trim(text) != "").withColumn("_row", F.from_json(text, schema)).withColumn("_v", F.try_parse_json(text))
+    message = F.concat(F.lit("not a JSON object in "), where, F.lit(": "), F.substring("value", 1, 200))
+    return some.withColumn("_row", F.when(F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("OBJECT"), F.col("_row")).otherwise(F.raise_error(message)))
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file or directory of JSON lines, with ``ord``, the order of the lines. Blank lines are left out; a line that is no JSON object is an error that names it."""
+    return _parsed(_lines(spark, path), schema, F.col("_f")).select(F.struct("_f", "_b", "_m").alias("ord"), "_row.*")
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Lines with ``ord`` as a number from 1."""
+def read_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same with ``ord`` as the number of the line, from 1 over all files; errors name it."""
     from lexiloom.operators.ranking import positions
 
-    order = [F.col("ord._f"), F.col("ord._b"), F.col("ord._m")]
-    return positions(lines, order, name="_n").drop("ord").withColumnRenamed("_n", "ord")
+    lines = positions(_lines(spark, path), [F.col("_f"), F.col("_b"), F.col("_m")], name="ord")
+    return _parsed(lines, schema, F.concat(F.lit("line "), F.col("ord").cast("string"), F.lit(" of "), F.col("_f"))).select("ord", "_row.*")
 
 
 SUBMISSION = "targetId string, candidates string, runner string, promptVersion string, rawResponseText string"
@@ -70,7 +73,7 @@ ANSWER = "targetId string, spelling string, pos string, answers array<string>, e
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """Submitted rows; ``candidates`` is text: a list as JSON, a text as it is."""
-    return numbered(read_lines(spark, path, SUBMISSION))
+    return read_numbered(spark, path, SUBMISSION)
 
 
 def set_path(directory: str, label: str) -> str:
@@ -81,7 +84,7 @@ def set_path(directory: str, label: str) -> str:
 
 
 def read_set(spark: SparkSession, directory: str, label: str) -> DataFrame:
-    return numbered(read_lines(spark, set_path(directory, label), TARGET))
+    return read_numbered(spark, set_path(directory, label), TARGET)
 
 
 def set_labels(data: str) -> list[str]:
@@ -103,13 +106,19 @@ class Kit:
     extra: dict = field(default_factory=dict)
 
 
-def load_kit(spark: SparkSession, source: str, modifiers: str, indicators: str) -> Kit:
-    """The lexicon of three files: snapshot, modifier reference and indicator reference (JSON objects with ``entries``)."""
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """``target_id, reviewed, note`` of a file of reviewed answers: a JSON object with answers and note by target."""
+    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    return spark.createDataFrame([(k, v.get("answers") or [], v.get("note")) for k, v in found.items()], "target_id string, reviewed array<string>, note string")
+
+
+def load_kit(spark: SparkSession, source: str, modifiers: str, indicators: str, reviews: str | None = None) -> Kit:
+    """The lexicon of its files: snapshot, modifier reference and indicator reference (JSON objects with ``entries``), and reviewed answers if there are any."""
     m, i = (json.loads(Path(p).read_text()) for p in (modifiers, indicators))
     rows = [(e["code"], e.get("group", ""), e.get("name", ""), e.get("purpose", "")) for e in i.get("entries", [])]
     marks = spark.createDataFrame(rows, "code string, group string, name string, purpose string")
     exceptions = [tuple(x) for x in m.get("conditionalExceptions", [])]
-    return Kit(Lexicon(normalized(read_snapshot(spark, source)), marks, checked(m.get("entries", [])), exceptions), m, i, source)
+    return Kit(Lexicon(normalized(read_snapshot(spark, source)), marks, checked(m.get("entries", [])), exceptions, read_reviews(spark, reviews) if reviews else None), m, i, source)
 
 
 def checked_indicators(entries: list[dict], groups: list[str]) -> dict:

@@ -211,7 +211,25 @@ def test_scores(spark):
 )
 def test_candidates(spark, sent, want):
     assert spark.createDataFrame([(sent,)], "c string").select(C.candidates(F.col("c")).alias("g")).first().g == want
-    assert C.parsed(sent) == want
+
+
+def test_array_spans(spark):
+    rnd = random.Random(12)
+    texts = [None, "", "[", "]", "a]b[c]d", "x [a [b] c] y [d", "[[]", "[]" * 40, "[" * 20_000, "é[ü]🙂[z]"] + ["".join(rnd.choice("[]ab") for _ in range(rnd.randrange(14))) for _ in range(300)]
+
+    def brute(t):
+        out, opened = [], []
+        for i, c in enumerate(t or ""):
+            if c == "[":
+                opened.append(i)
+            elif c == "]" and opened:
+                at = opened.pop()
+                if not opened:
+                    out.append(t[at : i + 1])
+        return out
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, c string").select("i", C.array_spans(F.col("c")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [brute(t) for t in texts]
 
 
 def test_report(spark):
@@ -316,9 +334,9 @@ def test_files(spark, tmp_path):
         normalized(snapshot.read_snapshot(spark, str(tmp_path / "no-id.json"))).collect()
     (tmp_path / "s.jsonl").write_text('{"targetId":"B1","candidates":["a"]}\r\n\n{"targetId":"B2","candidates":"x [\\"y\\"]"}\n')
     rows = snapshot.read_submissions(spark, str(tmp_path / "s.jsonl")).orderBy("ord").collect()
-    assert [(r.ord, r.targetId, r.candidates) for r in rows] == [(1, "B1", '["a"]'), (2, "B2", 'x ["y"]')]
+    assert [(r.ord, r.targetId, r.candidates) for r in rows] == [(1, "B1", '["a"]'), (3, "B2", 'x ["y"]')]
     (tmp_path / "t.jsonl").write_text('{"targetId":"B1"}\nnot json\n')
-    with pytest.raises(Exception, match="not a JSON object"):
+    with pytest.raises(Exception, match="not a JSON object in line 2 of"):
         snapshot.read_submissions(spark, str(tmp_path / "t.jsonl")).collect()
     for label in ("../x", "a/b", "", ".."):
         with pytest.raises(ValueError, match="no name"):
