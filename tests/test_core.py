@@ -12,7 +12,7 @@ from lexiloom.functions import text as T
 from lexiloom.operators import answers, context, matching, modifiers, rules, sampling, scoring
 from lexiloom.operators.lexicon import Lexicon, normalized
 from lexiloom.operators.ranking import positions
-from lexiloom.plans import references, report
+from lexiloom.plans import builders, references, report
 from lexiloom.sources import sinks, snapshot
 
 
@@ -250,14 +250,66 @@ def test_report(spark):
 
 def test_report_of_many_runners(spark):
     """As many names as a summary lists, and one more, which is an error."""
-    key = spark.createDataFrame([("B1", "noun", ["cat"])], "target_id string, pos string, answers array<string>")
-    sent = spark.range(1, 1002).selectExpr("id as ord", "'B1' as targetId", "'[\"cat\"]' as candidates", "cast(null as string) as rawResponseText", "concat('r', id) as runner")
+    key = spark.range(1, 1002).selectExpr("concat('B', id) as target_id", "'noun' as pos", "array('cat') as answers")
+    sent = spark.range(1, 1002).selectExpr("id as ord", "concat('B', id) as targetId", "'[\"cat\"]' as candidates", "cast(null as string) as rawResponseText", "concat('r', id) as runner")
     _, s = report.score_report(sent.where("ord <= 1000"), key, key.select("target_id"))
     assert s["runner"] == [f"r{i}" for i in range(1, 1001)]
     with pytest.raises(ValueError, match="runner"):
         report.score_report(sent, key, key.select("target_id"))
 
 
+def test_scored_columns(spark):
+    """Runner and version are those of a target's last row, also where another target's row has its number."""
+    key = spark.createDataFrame([("B1", "action", ["drive", "to drive", "go"]), ("B2", "noun", ["cat"])], "target_id string, pos string, answers array<string>")
+    sent = spark.createDataFrame([(1, "B1", '["x"]', None, "a", "v1"), (7, "B1", '["Drive!"]', None, "b", None), (7, "B2", "[]", None, "c", "v2")], "ord bigint, targetId string, candidates string, rawResponseText string, runner string, promptVersion string")
+    rows, s = report.score_report(sent, key, key.select("target_id"), provenance={"kitVersion": "1"})
+    got = {r.target_id: (r.rank, r.accepted, r.normalized, r.runner, r.promptVersion) for r in rows.collect()}
+    assert got == {"B1": (1, ["to drive", "to go"], ["to drive"], "b", None), "B2": (None, ["cat"], [], "c", "v2")}
+    assert s["runner"] == ["b", "c"] and s["promptVersion"] == ["v2"] and s["kitVersion"] == "1" and s["coverage"]["duplicates"] == 1 and s["coverage"]["empty_candidates"] == 1
+
+
+def test_whole_views(spark):
+    """Helpers with their base, marks, answers and explanation; modifiers with their readings; known words of a spelling."""
+    words = [(1, "B9/B200/B300", "own"), (2, "B200;B81", "two (1), deux"), (3, "B200;B4", "atomic"), (4, "B9/B200/B777;;B97", "near")]
+    rows = [(f"B{i}", i, i, code, gloss, "noun", False, f"told_about  {i}") for i, code, gloss in words]
+    entries = spark.createDataFrame(rows, "id string, numeric_id bigint, ordinal bigint, code string, gloss string, pos string, is_non_preferred boolean, explanation string")
+    ind = spark.createDataFrame([(m, "g", f"name {m}", "p") for m in ("B81", "B97")], "code string, group string, name string, purpose string")
+    reviews = spark.createDataFrame([("B4", ["close"], None)], "target_id string, reviewed array<string>, note string")
+    lex = Lexicon(entries, ind, [{"spelling": "B9", "category": "c", "asPrefix": ["many", "much"]}], [], reviews)
+    r = context.build(lex, matching.targets_from(spark.createDataFrame([("B009/B200/B300",)], "spelling string"))).first()
+    assert [(m.spelling, m.codes, m.gloss, m.as_prefix, m.category, m.start, m.stop) for m in r.modifiers] == [("B9", ["B9"], "", ["many", "much"], "c", 0, 1)]
+    assert [(m.helper_id, m.helper_spelling, m.helper_base, m.answers, m.explanation) for m in r.exact_match] == [("B1", "B9/B200/B300", "B9/B200/B300", ["own"], "told about 1")]
+    two = r.subwords[0]
+    assert (two.helper_id, two.spelling, two.key, two.helper_spelling, two.helper_base, two.answers, [m.name for m in two.indicators]) == ("B2", "B200", "B200", "B200;B81", "B200", ["two", "deux"], ["name B81"])
+    assert [(n.helper_id, n.shared_len, n.shared_base, n.answers, n.explanation) for n in r.shared_start] == [("B4", 2, "B9/B200", ["near", "close"], "told about 4")]
+    assert {v.id: v.indicators for v in lex.views.collect()}["B3"] == [] and lex.answer_keys().where("id = 'B4'").first().answers == ["near", "close"]
+    own = context.build(lex).where("target_id = 'B1'").first()
+    assert own.exact_match is None and "told about 1" not in str(own) and "Modifiers: B9" in context.prompt(context.build(lex)).where("target_id = 'B1'").first().prompt
+
+
+def test_builders(spark, tmp_path):
+    lex = lexicon(spark, [(1, "B5/B6", "five six"), (9, "B9", "nine")])
+    lex = Lexicon(lex.raw.withColumn("is_indicator", F.lit(False)), lex.indicators)
+    m = builders.modifier_reference({"entries": [{"spelling": "B9", "category": "a", "tier": "t"}, {"spelling": "B5/B6", "category": "b", "tier": "t", "gloss": "own", "asPrefix": ["x"]}, {"spelling": "B77", "category": "a", "tier": "u"}], "knownGaps": ["g"]}, lex)
+    assert [(e["spelling"], e["codes"], e["gloss"], e["asPrefix"]) for e in m["entries"]] == [("B9", ["B9"], "nine", []), ("B5/B6", ["B5", "B6"], "own", ["x"]), ("B77", ["B77"], "", [])]
+    assert m["tiers"] == {"t": ["B9", "B5/B6"], "u": ["B77"]} and m["categories"] == ["a", "b"] and m["count"] == 3 and m["knownGaps"] == ["g"]
+    found, warnings = builders.indicator_reference({"groups": ["g"], "entries": [{"code": "B9", "group": "g", "name": "n"}, {"code": "B8", "group": "g", "name": "m"}]}, lex)
+    assert found["count"] == 2 and warnings == ["B9 (n) isn't flagged as a mark", "B8 (m) isn't in the lexicon"]
+    with pytest.raises(ValueError, match="unknown group"):
+        builders.indicator_reference({"groups": [], "entries": [{"code": "B9", "group": "g"}]}, lex)
+    (tmp_path / "r.json").write_text(json.dumps({"B9": {"answers": ["a", "b"], "note": "n"}}))
+    assert snapshot.read_reviews(spark, str(tmp_path / "r.json")).first()[:] == ("B9", ["a", "b"], "n")
+
+
+def test_subword_counts(spark):
+    """Counts from keys, also where a target's own id is the key of one of its spans."""
+    lex = lexicon(spark, [(1, "B1/B2/B1", ""), (2, "B2", ""), (3, "B2;B81", ""), (4, "B1/B2", ""), (5, "B9/B9", "")])
+    want = {r.target_id: (r.spans, r.helpers) for r in matching.subwords(lex).groupBy("target_id").agg(F.count_distinct("start", "stop").alias("spans"), F.count("*").alias("helpers")).collect()}
+    assert {r.target_id: (r.spans, r.helpers) for r in matching.subword_counts(lex).collect()} == want and len(want) == 2
+    pairs = {(r.target_id, r.side): r[2:] for r in matching.neighbours(lex).groupBy("target_id", "side").agg(F.count("*"), F.sum("shared_len"), F.sum("helper_no")).collect()}
+    assert {(r.target_id, r.side): r[2:] for r in matching.counts(lex).collect()} == pairs
+
+
 def test_by_pos(spark):
     rows = spark.createDataFrame([("noun", True, True, 1.0), ("noun", False, False, 0.0), ("action", False, False, 0.0)], "pos string, top1 boolean, top5 boolean, reciprocal_rank double")
     got = {r.pos: r for r in scoring.summary(rows).collect()}
