@@ -56,7 +56,7 @@ def lexicon(spark: SparkSession, sf: str) -> Lexicon:
     """The lexicon of a folder, parsed once in a session."""
     key = (spark.sparkContext.applicationId, sf, GLYPHS)
     if key not in _LEXICONS:
-        _LEXICONS.clear()
+        _LEXICONS.clear()  # one at a time: its tables stay in the shared folder until they're dropped
         _LEXICONS[key] = Lexicon(entries(spark, sf), references.indicators(spark), references.MODIFIERS, references.EXCEPTIONS, latest_reviews(table(spark, sf, "answer_alias_curation")))
     return _LEXICONS[key]
 

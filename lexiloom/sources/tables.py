@@ -40,14 +40,29 @@ def kept(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _WRITTEN:
+        atexit.register(drop_kept)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    """Deletes what ``kept`` wrote, when the driver ends."""
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already
-        pass
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def kept_so_far() -> int:
+    """A mark for ``drop_kept``."""
+    return len(_WRITTEN)
+
+
+def drop_kept(since: int = 0) -> None:
+    """Deletes what ``kept`` wrote after the mark ``since``, all of it when the driver ends.
+
+    Long sessions call it when the results that were made of these tables have been written; frames made of them can't be read any more.
+    """
+    while len(_WRITTEN) > since:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
