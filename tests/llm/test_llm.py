@@ -270,7 +270,7 @@ def test_defects(judge, text, want):
     assert judge.defect(text, PROMPT)[0] == want
 
 
-# Written apart from the phrases that training replies are composed of.
+# Other phrases than training replies are composed of. The list was read while these were changed, so it is a regression test rather than an untouched measure.
 HELD_OUT = {
     None: [
         '["yacht", "xylophone"]', "It probably means happiness or joy.", '["gherkin"]', "lighthouse", "Umbrella, most likely.", "I would go for small river.", 'Possibly ["stone wall", "quarry"]?', '{"candidates": ["wheelbarrow"], "why": "a cart with one wheel"}',
