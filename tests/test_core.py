@@ -425,3 +425,36 @@ def test_baseline(spark):
     lex = lexicon(spark, [(1, "B50/B60/B70", "whole"), (2, "B50/B60/B70", "Same (1)"), (3, "B50/B60", "part"), (4, "B50", "PART"), (5, "B90/B80", "alone")])
     got = {r.target_id: r.guesses for r in context.baseline(lex, answers.answer_key(lex.entries)).collect()}
     assert got["B1"] == ["Same", "part"] and got["B5"] == ["unknown"]
+
+
+def test_baseline_own_answers(spark):
+    """The first of all helpers' answers for each target but its own, where helpers share answers, own many of them and lie under frequent keys."""
+    rnd = random.Random(3)
+    words = [(i, "/".join(f"B{rnd.choice([50, 60, 70])}" for _ in range(rnd.randint(1, 3))), "; ".join(rnd.choice("abcdefghij") + rnd.choice(["", " X", " x"]) for _ in range(rnd.choice([1, 2, 9])))) for i in range(1, 61)]
+    lex = lexicon(spark, [*words, (50, "B60/B70", "k; l; m"), (200, "B50/B201", "n"), (201, "B70", "o"), (202, "B7000", "p; q; r; s; t; u; v"), (203, "B7000", "v; u")])
+    key = answers.answer_key(lex.entries)
+    given, entries, want = {}, {}, {}
+    for r in key.collect():
+        given.setdefault(r.target_id, []).append(r.answers)
+    for r in lex.base_keys.collect():
+        entries.setdefault(r.key, []).append(r)
+    for r in matching.targets_of(lex).collect():
+        n = len(r.base)
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                for h in entries.get("/".join(r.base[a:b]), []):
+                    if h.helper_id != r.target_id:
+                        want.setdefault(r.target_id, []).extend((a - b, a, h.ordinal, h.helper_no, k, x) for said in given[h.helper_id] for k, x in enumerate(said) if x.strip())
+    for most in (1, 2, 5):
+        for r in context.baseline(lex, key, most=most).collect():
+            first = {}
+            for *_, x in sorted(want.get(r.target_id, [])):
+                first.setdefault(x.strip().lower(), x)
+            assert r.guesses == (list(first.values())[:most] or ["unknown"]), r.target_id
+
+
+def test_baseline_lists_are_short(spark):
+    """A frequent key gives its targets lists of bounded length."""
+    lex = lexicon(spark, [(i, "B50", f"word {i}") for i in range(1, 40)])
+    made = context._said(lex, answers.answer_key(lex.entries), 5).collect()
+    assert {r.key: len(r.said) for r in made}["B50"] == 10
