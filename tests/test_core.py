@@ -458,3 +458,9 @@ def test_baseline_lists_are_short(spark):
     lex = lexicon(spark, [(i, "B50", f"word {i}") for i in range(1, 40)])
     made = context._said(lex, answers.answer_key(lex.entries), 5).collect()
     assert {r.key: len(r.said) for r in made}["B50"] == 10
+
+
+def test_counts_in_one_pass(spark):
+    """Both sides share their joins; each for itself has five."""
+    plan = matching.counts(lexicon(spark, NEAR))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 5
