@@ -464,3 +464,11 @@ def test_counts_in_one_pass(spark):
     """Both sides share their joins; each for itself has five."""
     plan = matching.counts(lexicon(spark, NEAR))._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") <= 5
+
+
+def test_context_counts_apart(spark, monkeypatch):
+    """The counts of a context are written before its other blocks are planned."""
+    labels, write = [], context.kept
+    monkeypatch.setattr(context, "kept", lambda df, label="step": (labels.append(label), write(df, label))[1])
+    context.build(lexicon(spark, NEAR))
+    assert "counts" in labels
