@@ -472,3 +472,16 @@ def test_context_counts_apart(spark, monkeypatch):
     monkeypatch.setattr(context, "kept", lambda df, label="step": (labels.append(label), write(df, label))[1])
     context.build(lexicon(spark, NEAR))
     assert "counts" in labels
+
+
+def test_counts_by_base(spark):
+    """Equal bases are counted once, spans inside are found without a join of all spans, and no text of the entries is read; the sums are those of the pairs."""
+    rnd = random.Random(5)
+    words = [(i, "/".join(f"B{rnd.choice([1, 1, 2, 3])}" for _ in range(rnd.randint(1, 6))) + rnd.choice(["", ";;B81", ";B423"]), "") for i in range(1, 200)]
+    lex = lexicon(spark, words)
+    made = matching.counts(lex)
+    assert made._jdf.queryExecution().sparkPlan().toString().count("Join") <= 3
+    forms = matching._forms(lex, matching.targets_of(lex))
+    assert forms.count() == forms.select("base_key").distinct().count() < 199 and "entries" not in lex.__dict__
+    pairs = matching.neighbours(lex).groupBy("target_id", "side").agg(F.count("*"), F.sum("shared_len"), F.sum("helper_no"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, pairs.collect()))
