@@ -485,3 +485,14 @@ def test_counts_by_base(spark):
     assert forms.count() == forms.select("base_key").distinct().count() < 199 and "entries" not in lex.__dict__
     pairs = matching.neighbours(lex).groupBy("target_id", "side").agg(F.count("*"), F.sum("shared_len"), F.sum("helper_no"))
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_baseline_by_base(spark, monkeypatch):
+    """Words of one base share one list of what its spans answer; one that has its own id, as a part or whole, has its own, and so has an id that is there twice."""
+    tables, write = {}, context.kept
+    monkeypatch.setattr(context, "kept", lambda df, label="step": tables.setdefault(label, write(df, label)))
+    lex = lexicon(spark, [*((i, "B50/B60", f"word {i}") for i in range(101, 140)), (50, "B50", "fifty"), (60, "B60/B7", "sixty"), (7, "B8", "seven"), (70, "B50", "first"), (70, "B60/B50", "second")])
+    got = {r.target_id: r.guesses for r in context.baseline(lex, answers.answer_key(lex.entries)).collect()}
+    assert tables["forms"].count() == 5  # B50/B60; B50 with its id; B60/B7 with its id; B8; the two of B70
+    assert got["B101"] == [f"word {i}" for i in range(102, 107)] and got["B109"] == [f"word {i}" for i in range(101, 106)]
+    assert got["B50"] == ["first", "second"] and got["B60"] == ["seven"] and got["B7"] == ["unknown"] and got["B70"] == ["fifty", "sixty"]
