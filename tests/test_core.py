@@ -113,6 +113,15 @@ def test_legend(spark):
     assert matching.legend(lex, matching.capped(shown, 0)).count() == 0
 
 
+def test_legend_of_repeated_targets(spark):
+    """A target that is there twice has each part once, as in the SQL."""
+    lex = lexicon(spark, [(1, "B100/B200/B300", ""), (2, "B100/B401/B402", ""), (3, "B401", ""), (4, "B402", ""), (5, "B401/B402", "")])
+    targets, shown = matching.targets_of(lex), matching.capped(matching.neighbours(lex))
+    once = sorted(map(tuple, matching.legend(lex, shown, targets).collect()))
+    assert [r[2] for r in once if r[0] == "B1"] == ["B401", "B401/B402", "B402"]
+    assert sorted(map(tuple, matching.legend(lex, shown, targets.unionByName(targets)).collect())) == once
+
+
 def test_context_of_a_spelling(spark):
     lex = lexicon(spark, [(1, "B100/B200/B300", "known word"), (2, "B100/B200/B777", "n"), (3, "B100", "a"), (4, "B300", "b")])
     asked = spark.createDataFrame([("B100/B200/B999",), ("B100/B200/B300",), ("not-a-bcode",), (None,)], "spelling string")
