@@ -105,6 +105,23 @@ def test_first_neighbours_behind_spans(spark):
     assert got == rows(matching.capped(matching.neighbours(lex)))
 
 
+@pytest.mark.parametrize("side", ["start", "end"])
+def test_all_pairs_are_spread(spark, side):
+    """All pairs as by brute force, spans of the target left out, in many partitions although few bytes are shuffled."""
+    rnd = random.Random(7)
+    words = {f"B{i}": [f"B{rnd.choice([10, 10, 1, 2, 100])}" for _ in range(rnd.randrange(1, 7))] for i in range(1000, 1150)}
+    lex = lexicon(spark, [(int(i[1:]), "/".join(w), "") for i, w in words.items()])
+    turn, most, want = (lambda x: x) if side == "start" else (lambda x: x[::-1]), 3 if side == "start" else 2, []
+    for t, a in words.items():
+        for h, b in words.items():
+            n = next((i for i, (x, y) in enumerate(zip(turn(a), turn(b))) if x != y), min(len(a), len(b)))
+            if t != h and n and 1 <= len(b) - n <= most and not any(a[i : i + len(b)] == b for i in range(len(a))):
+                want.append((t, h, n, len(b)))
+    found = getattr(matching, f"shared_{side}")(lex).select("target_id", "helper_id", "shared_len", "total")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found.rdd.getNumPartitions() >= matching.SPREAD * spark.sparkContext.defaultParallelism
+
+
 def test_legend(spark):
     lex = lexicon(spark, [(1, "B100/B200/B300", "t"), (2, "B100/B401/B402", "n"), (3, "B777/B300", "e"), (4, "B401", "alpha"), (5, "B402", "beta"), (6, "B401/B402", "widget"), (7, "B777", "omega"), (8, "B100", "first")])
     shown = matching.capped(matching.neighbours(lex))
