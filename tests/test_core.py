@@ -522,3 +522,24 @@ def test_baseline_by_base(spark, monkeypatch):
     assert tables["forms"].count() == 5  # B50/B60; B50 with its id; B60/B7 with its id; B8; the two of B70
     assert got["B101"] == [f"word {i}" for i in range(102, 107)] and got["B109"] == [f"word {i}" for i in range(101, 106)]
     assert got["B50"] == ["first", "second"] and got["B60"] == ["seven"] and got["B7"] == ["unknown"] and got["B70"] == ["fifty", "sixty"]
+
+
+def test_context_shuffles_keys(spark, monkeypatch):
+    """A target is gathered with few keys, not with the many helpers under them; each partition gets a helper once under a key. Blocks have what their joins have, in order."""
+    tables, write = {}, context.kept
+    monkeypatch.setattr(context, "kept", lambda df, label="step": tables.setdefault(label, write(df, label)))
+    monkeypatch.setattr(context, "MOST", 500)
+    words = [*((i, "B50;B97/B60", f"word {i}") for i in range(101, 160)), *((i, "B50", f"part {i}") for i in range(201, 240)), (50, "B50/B60/B70", "its own"), (300, "B50/B61/B50", "near"), (301, "B900", "alone")]
+    lex = lexicon(spark, words)
+    got = {r.target_id: r for r in context.build(lex).collect()}
+    assert len(got) == len(words) and max(len(r.refs) for r in tables["references"].collect()) < 30
+    for block, df, order in (("subwords", matching.subwords(lex), ["start", "stop", "ordinal", "helper_no"]), ("siblings", matching.siblings(lex), ["ordinal", "helper_no"])):
+        want = {}
+        for r in df.orderBy("target_id", *order).collect():
+            want.setdefault(r.target_id, []).append(r.helper_id)
+        assert {t: [h.helper_id for h in r[block]] for t, r in got.items() if r[block]} == want
+    assert len(got["B101"].siblings) == 58 and "B101" not in [h.helper_id for h in got["B101"].siblings] and "B50" not in [h.helper_id for h in got["B50"].subwords]
+    first = got["B101"].subwords[0]
+    assert (first.key, first.spelling, first.helper_id, first.gloss, first.answers) == ("B50", "B50;B97", "B50", "its own", ["its own"])
+    assert got["B301"].siblings is None
+    assert context.flat(context.build(lex, legend_view=["gloss"])).exceptAll(context.flat(context.build(lex))).count() == 0
