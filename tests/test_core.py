@@ -543,3 +543,20 @@ def test_context_shuffles_keys(spark, monkeypatch):
     assert (first.key, first.spelling, first.helper_id, first.gloss, first.answers) == ("B50", "B50;B97", "B50", "its own", ["its own"])
     assert got["B301"].siblings is None
     assert context.flat(context.build(lex, legend_view=["gloss"])).exceptAll(context.flat(context.build(lex))).count() == 0
+
+
+def test_context_of_a_spelling_parses_once(spark, monkeypatch):
+    """The entries are parsed once for given spellings too, candidates are looked up in full only under affixes that need it, and no view is written with the keys of the helpers."""
+    tables, write = {}, context.kept
+    again, under = [], matching._under
+    for m in (context, matching):
+        monkeypatch.setattr(m, "kept", lambda df, label="step": tables.setdefault(label, write(df, label)) if label == "met" else write(df, label))
+    monkeypatch.setattr(matching, "_under", lambda held, a: (again.append((held.count(), (few := under(held, a)).count())), few)[1])
+    labels = []
+    monkeypatch.setattr("lexiloom.operators.lexicon.kept", lambda df, label: (labels.append(label), write(df, label))[1])
+    words = [*((i, "B1/B2", "") for i in range(1, 13)), (13, "B1/B2/B7", ""), *((i, f"B1/B9/B{16 + i}", f"word {i}") for i in range(14, 22))]
+    lex = lexicon(spark, words)
+    got = context.build(lex, matching.targets_from(spark.createDataFrame([("B1/B3/B1/B2",), ("B5",)], "spelling string")))
+    assert [h.helper_id for h in got.where("target_id = '?B1/B3/B1/B2'").first().shared_start] == [f"B{i}" for i in range(13, 21)]
+    assert labels.count("lexicon") == 1 and "plain" not in labels
+    assert again[0][0] > again[0][1] > 0 == again[1][1] and "h_gloss" not in tables["met"].columns
